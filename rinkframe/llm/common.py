@@ -133,8 +133,9 @@ class Words:
 
 
 def lookup_of(is_word: Callable[[int], bool]) -> np.ndarray:
-    """Byte table for Words: lower case of A-Z, other word bytes as they are, separators 0."""
-    return np.array([(b + 32 if 65 <= b <= 90 else b) if is_word(b + 32 if 65 <= b <= 90 else b) else 0 for b in range(256)], np.uint8)
+    """Byte table for Words: lower case of A-Z, other word bytes as they are, separators 0. A NUL in a word becomes 255, which UTF-8 never uses."""
+    low = [b + 32 if 65 <= b <= 90 else b for b in range(256)]
+    return np.array([(b or 255) if is_word(b) else 0 for b in low], np.uint8)
 
 
 def tokenizer_file(name: str) -> str:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, near_dedup
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
 }
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op9_near_dedup": near_dedup.OP9_SQL,
 }
