@@ -12,6 +12,12 @@ whose members still lie in several components are compared across components. Li
 a component can't change it, so no pair is emitted for them; links between different components
 are all tried. Every proposal is confirmed on the full shingle sets.
 
+In a bucket of more than SMALL members, trying all pairs across components would grow with its
+square. There, two members can only be linked if they share a shingle that their leader lacks, or
+if both have enough shingles of the leader's own. The first are met by such shingles (an inverted
+index of what differs from the leader, itself contracted by its own leaders first), the second by
+comparing counts; both are exact, so nothing is capped.
+
 Nothing is collected: classes, buckets, links and labels are DataFrames, minima are aggregated
 before they are shuffled, hot keys are only joined (which adaptive execution can split), and
 lineage is cut by reliable checkpoints.
@@ -40,6 +46,8 @@ SHINGLE = 5
 BANDS, ROWS = 25, 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
+#: In buckets of up to so many members, pairs across components are tried as they are.
+SMALL = 48
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
@@ -132,36 +140,93 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return arrow_map(pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
+def _alike(x, y, percent: int):
+    """Sets whose sizes differ more can't be linked."""
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
+
+def _edges(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def _met(member: DataFrame, differs: str = "id") -> DataFrame:
+    """member (id, n, key, ...) where a key has more than one value of `differs`, with the key's leader, its smallest id."""
+    crowd = member.groupBy("key").agg(F.min(F.struct("id", "n")).alias("leader"), F.min(differs).alias("lo"), F.max(differs).alias("hi"))
+    return member.join(crowd.where("lo <> hi").select("key", "leader"), "key").select("key", "id", "n", "leader")
+
+
+def _stars(met: DataFrame, percent: int) -> DataFrame:
+    return met.where(F.col("id") != F.col("leader.id")).where(_alike(F.col("n"), F.col("leader.n"), percent)).select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def _open(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of buckets that still hold several components, with their component and the bucket's size."""
+    placed = met.join(roots, met["id"] == roots["node"], "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"), F.col("leader.id").alias("leader"))
+    keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
+    return placed.join(keys, "key")
+
+
+def _pairs(x: DataFrame, y: DataFrame, on: str, condition) -> DataFrame:
+    met = x.alias("x").join(y.alias("y"), (F.col(f"x.{on}") == F.col(f"y.{on}")) & condition)
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def _across(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of different components; those with the leader have been tried."""
+    others = rest.where("id <> leader")
+    return _pairs(others, others, "key", (F.col("x.root") < F.col("y.root")) & _alike(F.col("x.n"), F.col("y.n"), percent))
+
+
+def _against_leader(rest: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Members of large buckets: leader, id, n, root, inside (shingles that the leader has), outside (keys of the others)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "ta"):
+            inside, outside = [], []
+            leaders = batch.column("leader").to_numpy().astype(U64)
+            for leader, x, y in zip(leaders, shingle_sets(batch.column("ta"), shingle), shingle_sets(batch.column("tb"), shingle), strict=True):
+                own = np.setdiff1d(y, x, assume_unique=True)
+                inside.append(len(y) - len(own))
+                outside.append(mix(own ^ mix(np.array([leader], U64))).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("leader", "id", "n", "root")), pa.array(inside, pa.int64()), pa.array(outside, pa.list_(pa.int64()))], ["leader", "id", "n", "root", "inside", "outside"])
+
+    rows = rest.select("leader", "id", "n", "root").distinct()
+    ta, tb = texts.select(F.col("id").alias("leader"), F.col("text").alias("ta")), texts.select("id", F.col("text").alias("tb"))
+    return arrow_map(rows.join(ta, "leader").join(tb, "id").select("leader", "id", "n", "root", "ta", "tb"), run, "leader long, id long, n long, root long, inside long, outside array<long>")
+
+
+def _inside(large: DataFrame, percent: int) -> DataFrame:
+    """Pairs that could be linked by shingles of their leader alone: both have enough of these for their sizes."""
+    enough = lambda inside, sizes: inside * (100 + percent) >= sizes * percent
+    least = large.groupBy("leader").agg(F.min("n").alias("n_least"), F.max_by("root", F.col("id") == F.col("leader")).alias("main"))
+    rows = large.join(least, "leader").where(enough(F.col("inside"), F.col("n") + F.col("n_least"))).select("leader", "id", "n", "root", "inside", "main")
+    condition = (F.col("x.root") != F.col("y.root")) & enough(F.least("x.inside", "y.inside"), F.col("x.n") + F.col("y.n")) & (F.col("y.id") != F.col("y.leader"))
+    return _pairs(rows.where("root <> main"), rows, "leader", condition)
+
+
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: id_col, n_shingles, component_id (smallest id that links reach), kept."""
     signed = checkpointed(signatures(documents, id_col, text_col, shingle, bands, rows))
     classes = signed.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    member = checkpointed(classes.select("id", "n", F.explode("keys").alias("key")).distinct())
-    crowd = member.groupBy("key").agg(F.min(F.struct("id", "n")).alias("leader"), F.max("id").alias("last")).where("leader.id <> last")
-    alike = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  sets whose sizes differ more can't be
-    met = checkpointed(member.join(crowd.select("key", "leader"), "key"))
-    stars = met.where(F.col("id") != F.col("leader.id")).where(alike(F.col("n"), F.col("leader.n"))).select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct()
+    member = checkpointed(classes.select("id", "n", F.explode("keys").alias("key")))
+    met = checkpointed(_met(member))
     # the texts that share a bucket with another, one for each class
     wanted = met.select("id").distinct()
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(wanted, "id")
     texts = checkpointed(texts.dropDuplicates(["id"]))
-    links = checkpointed(confirmed(stars, texts, shingle, percent))
-    roots = connected_components(links)
-    # buckets that still hold several components: their members are compared across these
-    placed = met.join(roots, met["id"] == roots["node"], "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"), F.col("leader.id").alias("leader"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = checkpointed(placed.join(open_keys, "key"))
-    x, y = rest.alias("x"), rest.alias("y")
-    across = (
-        x.join(y, "key")
-        .where((F.col("x.root") < F.col("y.root")) & (F.col("x.leader") != F.col("x.id")) & (F.col("y.leader") != F.col("y.id")))
-        .where(alike(F.col("x.n"), F.col("y.n")))
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        .distinct()
-    )
-    more = checkpointed(confirmed(across, texts, shingle, percent))
+    verify = lambda pairs: checkpointed(confirmed(pairs, texts, shingle, percent))
+    roots = connected_components(verify(_stars(met, percent)))
+    rest = checkpointed(_open(met, roots))
+    more = verify(_across(rest.where(F.col("size") <= SMALL), percent))
+    if not rest.where(F.col("size") > SMALL).isEmpty():
+        large = checkpointed(_against_leader(rest.where(F.col("size") > SMALL), texts, shingle))
+        more = more.union(verify(_inside(large, percent)))
+        second = checkpointed(_met(large.select("id", "n", "root", F.explode("outside").alias("key")), "root"))
+        links = verify(_stars(second, percent))
+        roots = connected_components(_edges(roots).union(links))
+        more = more.union(verify(_across(_open(second, roots), percent)))
     if not more.isEmpty():
-        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+        roots = connected_components(_edges(roots).union(more))
     of_class = classes.select("cls", F.col("id").alias("rep"))
     labelled = of_class.join(roots, of_class["rep"] == roots["node"], "left").select("cls", F.coalesce("root", "rep").alias("root"))
     out = signed.join(labelled, "cls", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
