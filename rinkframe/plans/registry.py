@@ -1,10 +1,23 @@
-"""Every query of the engine's own operators, and the same in DuckDB's SQL."""
+"""Every query of the engine's own operators, and the same in DuckDB's SQL.
+
+The operators of the result-book model run here on stand-in columns of the driver's tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from rinkframe.functions import geometry, naming
+from rinkframe.operators import records, sequences, sets
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+for module in (sequences, sets, records, geometry, naming):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["possession_keep"](spark, sf_dir)
