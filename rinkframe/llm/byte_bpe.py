@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_map, steps, table, tokenizer_file
 
@@ -63,7 +64,7 @@ def merge_table(path: str) -> tuple[list[int], list[int]]:
     span = max(of.values()) + 1
     if span > 1 << 16:
         raise ValueError("ids beyond 16 bits")
-    n = 2 * sum(map(len, rows.values())) + 1024
+    n = 10 * sum(map(len, rows.values())) + 1024  # sparse, so that even long rows soon find a free place
     entries, base = np.full(n + span, -1, np.int64), np.zeros(span, np.int64)
     pick = np.random.default_rng(0)
     for a, row in sorted(rows.items(), key=lambda x: -len(x[1])):
@@ -86,7 +87,7 @@ def fold_merges(parts: Column, base: Column, entries: Column) -> Column:
     def packed(p: Column) -> Column:
         def one(left: Column, i: Column) -> Column:
             right = F.get(p, i + 1)
-            rank = F.get(entries, F.get(base, left) + right) - left * 65536
+            rank = F.get(entries, F.get(base, left) + right) - left.cast("bigint") * 65536
             return F.when((rank >= 0) & (rank < 65536), rank * 65536 + i).otherwise(F.lit(NONE))
 
         return F.transform(p, one)
@@ -240,7 +241,7 @@ def encode_decode(documents: DataFrame, text_col: str = "text", keep: tuple[str,
     chunks = arrow_map(source, lambda it: _chunks(it, path, chunk_bytes), "docs binary, counts binary, codes binary, words array<array<int>>, long array<array<int>>")
     b, e = _literal(base, "int"), _literal(entries, "bigint")
     folded = chunks.select("docs", "counts", "codes", F.transform("words", lambda w: fold_merges(w, b, e)).alias("ids"), "long")
-    schema = documents.select(*keep).schema.add("ids", "array<int>").add("decoded", "binary")
+    schema = documents.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.BinaryType())
     return arrow_map(folded, lambda it: _documents(it, path), schema)
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup
+from . import byte_bpe, decontaminate, near_dedup, secrets
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op5_secret_scan": secrets.op5_secret_scan,
     "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.OP1_SQL,
