@@ -134,3 +134,17 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_listed(["assign", "access", "hex"]).cast("binary"), 256).alias("base_sha256"),
         _listed(["assign", "access", "hex", "random"]).alias("spans"),
     )
+
+
+def redacted(text: Column, kinds: list[str], mark: str = "[SECRET]") -> Column:
+    """text with every span of the columns `kinds` replaced; overlapping spans become one mark."""
+    ordered = F.array_sort(F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))) for k in kinds]))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def add(s: Column, x: Column) -> Column:
+        between = F.substr(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
+        out = F.when(x["start"] >= s["at"], F.concat(s["out"], between, F.lit(mark))).otherwise(s["out"])
+        return F.struct(F.greatest(s["at"], x["stop"]).alias("at"), out.alias("out"))
+
+    done = F.aggregate(ordered, zero, add, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(ordered) > 0, done).otherwise(text)
