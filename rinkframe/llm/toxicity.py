@@ -1,9 +1,9 @@
 """Toxicity by compression distance with zstandard dictionaries.
 
 Two dictionaries are made from a bounded sample of labelled rows: one of ordinary text, and one that
-has fragments of toxic text before the same ordinary text. Each window of a document is compressed
+has fragments of toxic text behind the same ordinary text (nearest, where match tables keep them). Each window of a document is compressed
 with both; the bytes that the toxic fragments save are its distance. As the ordinary parts
-and their offsets are the same in both, ordinary windows save nothing or next to it, and a single
+and their offsets are the same in both (zeros stand in for the fragments), ordinary windows save nothing or next to it, and a single
 toxic word shows. A logistic calibration of the largest saving, the mean saving and the share of
 windows that save, fitted on labelled rows, gives the score.
 
@@ -30,7 +30,7 @@ from .common import arrow_map, steps, table
 
 #: Labelled rows of each class to learn from, and characters of each that the sample takes.
 SAMPLE, SAMPLE_CHARS = 1500, 6000
-WINDOW, ORDINARY_BYTES, TOXIC_BYTES, LEVEL, THRESHOLD = 192, 400_000, 48_000, 3, 0.7
+WINDOW, ORDINARY_BYTES, TOXIC_BYTES, LEVEL, THRESHOLD = 160, 112_000, 48_000, 3, 0.7
 
 
 class Model:
@@ -40,7 +40,7 @@ class Model:
     def compressors(self):
         if not hasattr(self, "_both"):
             of = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
-            self._both = of(self.ordinary).compress, of(self.toxic + self.ordinary).compress
+            self._both = of(self.ordinary + bytes(len(self.toxic))).compress, of(self.ordinary + self.toxic).compress
         return self._both
 
     def __getstate__(self):
@@ -65,8 +65,9 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
     base = "\n".join(clean)
     seen = Counter(w for t, y in learn if y for w in set(re.findall(r"\w+", (t or "").lower())))
     known = set(re.findall(r"\w+", base))
+    least = max(3, sum(y for _, y in learn) // 60)
     # fragments that several toxic texts have and no ordinary one; the most frequent come last, nearest
-    words = sorted((n, w) for w, n in seen.items() if n >= 3 and w not in known)
+    words = sorted((n, w) for w, n in seen.items() if n >= least and w not in known)
     toxic = " ".join(w for _, w in words).encode()[-TOXIC_BYTES:]
     model = Model(base.encode()[-ORDINARY_BYTES:], b" " + toxic + b" ")
     y = np.array([v for _, v in check], float)
@@ -75,7 +76,7 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
     x = np.array([model.features(t) for t, _ in check])
     z = np.concatenate([np.ones((len(x), 1)), x], 1)
     w = np.zeros(4)
-    balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    balance = np.where(y > 0, 0.4, 1.0)  # the sample has as many toxic rows as others, a corpus far fewer
     for _ in range(60):  # Newton steps with a small ridge
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         h = (z * (balance * p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(4)
