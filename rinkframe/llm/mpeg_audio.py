@@ -3,7 +3,7 @@
 A stored form is an ID3v2 tag (payload length), a Xing frame (variable-bitrate table) and mono 48 kHz
 MPEG-1 layer III frames with checksums. Their side information is zero, so that a decoder plays
 silence and the main data area carries the payload as ancillary bytes. The reader looks for frame
-headers (two in a row make a lock), parses both tables, verifies every CRC-16, and gives exact
+headers (a valid checksum or a second header in a row makes a lock), parses both tables, verifies every CRC-16, and gives exact
 durations (1152 samples a frame) and the byte offset of each frame.
 
 Defined results: null is an empty text; a payload is padded with zeros to a positive multiple of 64;
@@ -30,7 +30,7 @@ RATE, SAMPLES, HEAD, CRC, SIDE = 48_000, 1152, 4, 2, 17
 ROOM = [3 * k - HEAD - CRC - SIDE for k in KBITS]
 
 
-@functools.cache
+@functools.lru_cache(4096)
 def crc16(data: bytes) -> int:
     """CRC-16 (polynomial 0x8005, start 0xFFFF) of the protected header half and side information."""
     crc = 0xFFFF
@@ -93,14 +93,14 @@ def load(data: bytes) -> dict:
     locked = False
     while at < len(data):
         size = frame_size(data, at)
-        if not size or at + size > len(data) or not (locked or at + size == len(data) or frame_size(data, at + size)):
+        protected = size and not data[at + 1] & 1
+        sound = protected and at + size <= len(data) and crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + SIDE]) == data[at + 4] << 8 | data[at + 5]
+        if not size or at + size > len(data) or not (locked or sound or at + size == len(data) or frame_size(data, at + size)):
             at, skipped, locked = at + 1, skipped + 1, False
             continue
         locked = True
-        protected = not data[at + 1] & 1
-        front = HEAD + CRC * protected + SIDE
-        if protected and crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + SIDE]) != data[at + 4] << 8 | data[at + 5]:
-            errors += 1
+        front = HEAD + CRC * bool(protected) + SIDE
+        errors += bool(protected and not sound)
         if declared is None and data[at + front : at + front + 4] == b"Xing":
             declared = struct.unpack(">I", data[at + front + 8 : at + front + 12])[0]
         else:
