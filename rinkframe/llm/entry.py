@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, language, mpeg_audio, near_dedup, secrets, toxicity, warc
+from . import byte_bpe, decontaminate, kneser_ney, language, mpeg_audio, near_dedup, secrets, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,11 +11,13 @@ QUERIES = {
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_mpeg_audio": mpeg_audio.op6_mpeg_audio,
     "op7_warc": warc.op7_warc,
+    "op8_quality": kneser_ney.op8_quality,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op7_warc": warc.OP7_SQL,
+    "op8_quality": kneser_ney.op8_quality,
     "op9_near_dedup": near_dedup.OP9_SQL,
 }
