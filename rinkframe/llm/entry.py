@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, kneser_ney, language, mpeg_audio, near_dedup, secrets, toxicity, warc
+from . import byte_bpe, decontaminate, html_text, kneser_ney, language, mpeg_audio, near_dedup, secrets, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_language": language.op3_language,
+    "op4_html_text": html_text.op4_html_text,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_mpeg_audio": mpeg_audio.op6_mpeg_audio,
     "op7_warc": warc.op7_warc,
