@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding with a fixed public vocabulary.
 
-Encoding is done once for each distinct word of a chunk of documents. A Python step splits the
+Encoding is done once for each distinct word of a task's documents. A Python step splits the
 texts by the vocabulary's pattern and writes one row for each chunk: its documents, the distinct
-words as arrays of byte ids, and every document as numbers of words. Spark's higher-order
+words that the task has not met before as arrays of byte ids, and every document as numbers of words. Spark's higher-order
 functions then fold the ranked merges over the byte arrays: each step of aggregate() finds the
-lowest rank among adjacent pairs (the leftmost of equals) and joins that pair. The ranks are a
+lowest rank among adjacent pairs (the leftmost of equals), joins that pair and ranks its two new neighbours. The ranks are a
 literal map, laid out as two literal arrays so that a look-up is two element reads: the
 entry of (left, right) is at base[left] + right. Last, numpy puts the documents' ids together from
 those of their words, and decoding gathers the ids' byte pieces and concatenates them.
@@ -39,10 +39,14 @@ from .common import arrow_map, steps, table, tokenizer_file
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how the vocabulary's texts are split. \\s of the reference library is Unicode's White_Space.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 LONG_BYTES = 400
-#: Above all packed (rank, place) pairs.
-NONE = 1 << 40
+#: Ranks are below NO_PAIR; what doesn't merge has NO_PAIR or more.
+NO_PAIR, NONE = 1 << 16, 1 << 40
+#: Before and after the ids of a word.
+END = -1
+#: A task forgets its words after so many.
+MAX_WORDS = 1 << 20
 
 
 @functools.cache
@@ -65,11 +69,11 @@ def merge_table(path: str) -> tuple[list[int], list[int]]:
     if span > 1 << 16:
         raise ValueError("ids beyond 16 bits")
     n = 10 * sum(map(len, rows.values())) + 1024  # sparse, so that even long rows soon find a free place
-    entries, base = np.full(n + span, -1, np.int64), np.zeros(span, np.int64)
+    entries, base = np.full(n + span, NONE, np.int64), np.zeros(span, np.int64)
     pick = np.random.default_rng(0)
     for a, row in sorted(rows.items(), key=lambda x: -len(x[1])):
         at = np.array([b for b, _ in row])
-        while (entries[(k := int(pick.integers(n))) + at] >= 0).any():
+        while (entries[(k := int(pick.integers(n))) + at] < NONE).any():
             pass
         base[a] = k
         entries[k + at] = [a << 16 | r for _, r in row]
@@ -81,25 +85,35 @@ def _literal(values: list[int], kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def fold_merges(parts: Column, base: Column, entries: Column) -> Column:
-    """parts (array of ids) after all ranked merges."""
+def _rank(left: Column, right: Column, base: Column, entries: Column) -> Column:
+    """Rank of the id that left and right merge to; NO_PAIR or more if they don't."""
+    found = F.get(entries, F.get(base, left) + right).bitwiseXOR(left.cast("bigint") * NO_PAIR)
+    return F.coalesce(found, F.lit(NONE))
 
-    def packed(p: Column) -> Column:
-        def one(left: Column, i: Column) -> Column:
-            right = F.get(p, i + 1)
-            rank = F.get(entries, F.get(base, left) + right) - left.cast("bigint") * 65536
-            return F.when((rank >= 0) & (rank < 65536), rank * 65536 + i).otherwise(F.lit(NONE))
 
-        return F.transform(p, one)
+def fold_merges(parts: Column, pairs: Column, base: Column, entries: Column) -> Column:
+    """parts (ids between two END) after all ranked merges. pairs: the ranks of adjacent parts.
 
-    def step(p: Column, _: Column) -> Column:
-        def joined(m: Column) -> Column:
-            at = (m % 65536).cast("int")
-            return F.when(m >= NONE, p).otherwise(F.concat(F.slice(p, F.lit(1), at), F.array((m / 65536).cast("int")), F.slice(p, at + 3, F.size(p))))
+    A step looks up the two pairs that its merge makes; the other ranks move along.
+    """
+    let = lambda value, then: F.get(F.transform(F.array(value), then), 0)
 
-        return F.get(F.transform(F.array(F.array_min(packed(p))), joined), 0)
+    def step(state: Column, _: Column) -> Column:
+        p, k = state["p"], state["k"]
 
-    return F.when(F.size(parts) < 2, parts).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(parts)), parts, step))
+        def merged(m: Column) -> Column:
+            def at_place(at: Column) -> Column:
+                made, many = m.cast("int"), F.size(p)
+                new_p = F.concat(F.slice(p, F.lit(1), at - 1), F.array(made), F.slice(p, at + 2, many))
+                beside = F.array(_rank(F.get(p, at - 2), made, base, entries), _rank(made, F.get(p, at + 1), base, entries))
+                return F.struct(new_p.alias("p"), F.concat(F.slice(k, F.lit(1), at - 2), beside, F.slice(k, at + 2, many)).alias("k"))
+
+            return F.when(m >= NO_PAIR, state).otherwise(let(F.array_position(k, m).cast("int"), at_place))
+
+        return let(F.array_min(k), merged)
+
+    start = F.struct(parts.alias("p"), pairs.alias("k"))
+    return F.when(F.size(parts) < 4, parts).otherwise(F.aggregate(F.sequence(F.lit(4), F.size(parts)), start, step, lambda s: s["p"]))
 
 
 def heap_merges(word: bytes, of: dict[bytes, int]) -> list[int]:
@@ -147,38 +161,47 @@ def _chunks(batches: Iterable[pa.RecordBatch], path: str, chunk_bytes: int) -> I
 
     of, find = ranks(path), regex.compile(PATTERN).findall
     byte_id = np.array([of[bytes([b])] for b in range(256)], np.int32)
+    pair_rank = np.full((256, 256), NONE, np.int64)  # the ids of single bytes are below 256
+    for a, b in itertools.product(range(256), repeat=2):
+        if (r := of.get(bytes([a, b]))) is not None:
+            pair_rank[byte_id[a], byte_id[b]] = r
 
-    def flush(docs: list[pa.RecordBatch], codes: list[np.ndarray], seen: dict[str, int]) -> pa.RecordBatch:
-        words = [w.encode() for w in seen]
+    def flush(docs: list[pa.RecordBatch], codes: list[np.ndarray], seen: dict[str, int], first: int) -> pa.RecordBatch:
+        words = [w.encode() for w in itertools.islice(seen, first, None)]
         long = [heap_merges(w, of) if len(w) > LONG_BYTES and w not in of else None for w in words]
         whole = np.array([of.get(w, -1) for w in words], np.int32)
         size = np.array([len(w) for w in words], np.int64)
         kept = np.where(whole >= 0, 1, np.where([x is None for x in long], size, 0)) if words else size
         starts = np.cumsum(size) - size
         data = byte_id[np.frombuffer(b"".join(words), np.uint8)]
-        ids = data[_gather(starts, kept)]
-        at = np.cumsum(kept) - kept
-        ids[at[whole >= 0]] = whole[whole >= 0]
+        # ids between two ends, and the rank of each pair
+        edges = np.concatenate([[0], np.cumsum(kept + 2)])
+        ids = np.full(int(edges[-1]), END, np.int32)
+        ids[_gather(edges[:-1] + 1, kept)] = data[_gather(starts, kept)]
+        ids[edges[:-1][whole >= 0] + 1] = whole[whole >= 0]
+        rank = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), pair_rank[np.minimum(ids[:-1], 255), np.minimum(ids[1:], 255)], NONE) if len(ids) else np.zeros(0, np.int64)
+        rank = np.append(rank, NONE)[_gather(edges[:-1], kept + 1)]
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, docs[0].schema) as out:
             for d in docs:
                 out.write_batch(d)
-        lists = _ragged(pa.array(ids), np.concatenate([[0], np.cumsum(kept)]))
+        nested = lambda lists: _ragged(lists, np.array([0, len(lists)]))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([sink.getvalue().to_pybytes()], pa.binary()),
                 pa.array([np.array([len(c) for c in codes], np.int32).tobytes()], pa.binary()),
                 pa.array([np.concatenate(codes).tobytes()], pa.binary()),
-                _ragged(lists, np.array([0, len(lists)])),
-                _ragged(pa.array([x or [] for x in long], pa.list_(pa.int32())), np.array([0, len(long)])) if any(long) else pa.array([[]], pa.list_(pa.list_(pa.int32()))),
+                pa.array([first], pa.int32()),
+                nested(_ragged(pa.array(ids), edges)),
+                nested(_ragged(pa.array(rank, pa.int64()), np.concatenate([[0], np.cumsum(kept + 1)]))),
+                nested(pa.array([x or [] for x in long], pa.list_(pa.int32()))) if any(long) else pa.array([[]], pa.list_(pa.list_(pa.int32()))),
             ],
-            ["docs", "counts", "codes", "words", "long"],
+            ["docs", "counts", "codes", "first", "words", "pairs", "long"],
         )
 
-    def fresh():
-        return [], [], defaultdict(itertools.count().__next__), 0
-
-    docs, codes, seen, size = fresh()
+    docs, codes, size = [], [], 0
+    seen: dict[str, int] = defaultdict(itertools.count().__next__)
+    first = 0
     for batch in batches:
         for part in steps([batch], "__text", chunk_bytes // 4):
             texts = part.column("__text").to_pylist()
@@ -188,10 +211,13 @@ def _chunks(batches: Iterable[pa.RecordBatch], path: str, chunk_bytes: int) -> I
                 size += len(text or "")
             docs.append(part.drop_columns(["__text"]))
             if size >= chunk_bytes:
-                yield flush(docs, codes, seen)
-                docs, codes, seen, size = fresh()
+                yield flush(docs, codes, seen, first)
+                docs, codes, size = [], [], 0
+                if len(seen) > MAX_WORDS:
+                    seen = defaultdict(itertools.count().__next__)
+                first = len(seen)
     if docs:
-        yield flush(docs, codes, seen)
+        yield flush(docs, codes, seen, first)
 
 
 def _documents(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -203,18 +229,23 @@ def _documents(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.Reco
     piece_size = np.array([len(x) for x in pieces], np.int64)
     piece_at = np.cumsum(piece_size) - piece_size
     flat = np.frombuffer(b"".join(pieces), np.uint8)
+    ids, at, size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
         for k in range(batch.num_rows):
             lists = batch.column("ids")[k].values
-            ids = lists.values.to_numpy(zero_copy_only=False)[lists.offsets[0].as_py() :] if len(lists) else np.zeros(0, np.int32)
-            at = lists.offsets.to_numpy().astype(np.int64) if len(lists) else np.zeros(1, np.int64)
-            at, size = at[:-1] - at[0], np.diff(at)
+            new = lists.values.to_numpy(zero_copy_only=False)[lists.offsets[0].as_py() :] if len(lists) else np.zeros(0, np.int32)
+            edges = lists.offsets.to_numpy().astype(np.int64) if len(lists) else np.zeros(1, np.int64)
+            new_at, new_size = edges[:-1] - edges[0] + 1, np.diff(edges) - 2  # without the ends
             long = batch.column("long")[k].as_py()
             if long:
                 extra = np.array([y for x in long for y in x], np.int32)
                 many = np.array([len(x) for x in long], np.int64)
-                at, size = np.where(many > 0, len(ids) + np.cumsum(many) - many, at), np.where(many > 0, many, size)
-                ids = np.concatenate([ids, extra])
+                new_at, new_size = np.where(many > 0, len(new) + np.cumsum(many) - many, new_at), np.where(many > 0, many, new_size)
+                new = np.concatenate([new, extra])
+            if batch.column("first")[k].as_py() == 0:
+                ids, at, size = new, new_at, new_size
+            else:
+                ids, at, size = np.concatenate([ids, new]), np.concatenate([at, new_at + len(ids)]), np.concatenate([size, new_size])
             codes = np.frombuffer(batch.column("codes")[k].as_py(), np.int32)
             counts = np.frombuffer(batch.column("counts")[k].as_py(), np.int32)
             stop = 0
@@ -238,9 +269,9 @@ def encode_decode(documents: DataFrame, text_col: str = "text", keep: tuple[str,
     path = path or tokenizer_file(VOCABULARY)
     base, entries = merge_table(path)
     source = documents.select(*keep, F.col(text_col).alias("__text"))
-    chunks = arrow_map(source, lambda it: _chunks(it, path, chunk_bytes), "docs binary, counts binary, codes binary, words array<array<int>>, long array<array<int>>")
+    chunks = arrow_map(source, lambda it: _chunks(it, path, chunk_bytes), "docs binary, counts binary, codes binary, first int, words array<array<int>>, pairs array<array<bigint>>, long array<array<int>>")
     b, e = _literal(base, "int"), _literal(entries, "bigint")
-    folded = chunks.select("docs", "counts", "codes", F.transform("words", lambda w: fold_merges(w, b, e)).alias("ids"), "long")
+    folded = chunks.select("docs", "counts", "codes", "first", F.zip_with("words", "pairs", lambda w, k: fold_merges(w, k, b, e)).alias("ids"), "long")
     schema = documents.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.BinaryType())
     return arrow_map(folded, lambda it: _documents(it, path), schema)
 
