@@ -16,7 +16,8 @@ times a margin; documents above are not kept.
 
 Defined results: null and empty texts have no perplexity (null) and aren't kept; languages without
 trusted rows (and null ones) use the quantile of all trusted rows; with no trusted row all other documents are
-kept, with null perplexity; repeated rows repeat; other columns are ignored.
+kept, with null perplexity; rows of one id share one figure, over all their texts; texts without an id have null
+perplexity and are kept; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -238,7 +239,7 @@ def quality(documents: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id"
         scored = rows.select("id", F.lit(None).cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("log_p")).limit(0)
     else:
         scored = checkpointed(perplexities(rows, model, "id", "text", order))
-    # repeated rows of an id can have different texts: each keeps its own figures by its place among them
+    # rows of one id share their figures
     by_id = scored.groupBy("id").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("log_p").alias("log_p"))
     out = rows.select("id", "lang", (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("some")).join(by_id, "id", "left")
     out = out.withColumn("perplexity", F.when(F.col("some"), F.exp(-F.col("log_p") / F.col("n_bytes")))).join(ids.withColumn("trusted", F.lit(True)), "id", "left")
