@@ -19,6 +19,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op7_warc": warc.OP7_SQL,
-    "op8_quality": kneser_ney.op8_quality,
     "op9_near_dedup": near_dedup.OP9_SQL,
 }
