@@ -13,10 +13,11 @@ a component can't change it, so no pair is emitted for them; links between diffe
 are all tried. Every proposal is confirmed on the full shingle sets.
 
 In a bucket of more than SMALL members, trying all pairs across components would grow with its
-square. There, two members can only be linked if they share a shingle that their leader lacks, or
-if both have enough shingles of the leader's own. The first are met by such shingles (an inverted
-index of what differs from the leader, itself contracted by its own leaders first), the second by
-comparing counts; both are exact, so nothing is capped.
+square. There, members are compared by what differs from their leader: two sets are as far apart
+as their differences from it, so a link needs a known number of shared differences, at least one
+where an end isn't linked with the leader. Differences are indexed in one order, and a pair is met
+only where enough places are left on both sides from the shared one on. This is exact, so
+nothing is capped; the index is itself contracted by its own leaders first.
 
 Nothing is collected: classes, buckets, links and labels are DataFrames, minima are aggregated
 before they are shuffled, hot keys are only joined (which adaptive execution can split), and
@@ -159,9 +160,9 @@ def _stars(met: DataFrame, percent: int) -> DataFrame:
     return met.where(F.col("id") != F.col("leader.id")).where(_alike(F.col("n"), F.col("leader.n"), percent)).select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def _open(met: DataFrame, roots: DataFrame) -> DataFrame:
+def _open(met: DataFrame, roots: DataFrame, *keep: str) -> DataFrame:
     """The rows of buckets that still hold several components, with their component and the bucket's size."""
-    placed = met.join(roots, met["id"] == roots["node"], "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"), F.col("leader.id").alias("leader"))
+    placed = met.drop("root").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", *keep, F.coalesce("root", "id").alias("root"), F.col("leader.id").alias("leader"))
     keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
     return placed.join(keys, "key")
 
@@ -177,31 +178,63 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
     return _pairs(others, others, "key", (F.col("x.root") < F.col("y.root")) & _alike(F.col("x.n"), F.col("y.n"), percent))
 
 
-def _against_leader(rest: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """Members of large buckets: leader, id, n, root, inside (shingles that the leader has), outside (keys of the others)."""
+def _against_leader(rest: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Members of large buckets: leader, id, n, root, slack, diff.
+
+    diff: keys of the shingles that only one of the member and its leader has, in one order for all
+    members of a leader (the member's own first). slack: (100 + percent) * |diff| - (100 - percent) * n;
+    two members can only be linked if 2 * (100 + percent) times what their diffs share is no less than the sum of their slacks.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "ta"):
-            inside, outside = [], []
+            slack, diff = [], []
             leaders = batch.column("leader").to_numpy().astype(U64)
             for leader, x, y in zip(leaders, shingle_sets(batch.column("ta"), shingle), shingle_sets(batch.column("tb"), shingle), strict=True):
-                own = np.setdiff1d(y, x, assume_unique=True)
-                inside.append(len(y) - len(own))
-                outside.append(mix(own ^ mix(np.array([leader], U64))).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("leader", "id", "n", "root")), pa.array(inside, pa.int64()), pa.array(outside, pa.list_(pa.int64()))], ["leader", "id", "n", "root", "inside", "outside"])
+                own = np.concatenate([np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)])
+                slack.append((100 + percent) * len(own) - (100 - percent) * len(y))
+                diff.append(mix(own ^ mix(np.array([leader], U64))).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("leader", "id", "n", "root")), pa.array(slack, pa.int64()), pa.array(diff, pa.list_(pa.int64()))], ["leader", "id", "n", "root", "slack", "diff"])
 
     rows = rest.select("leader", "id", "n", "root").distinct()
     ta, tb = texts.select(F.col("id").alias("leader"), F.col("text").alias("ta")), texts.select("id", F.col("text").alias("tb"))
-    return arrow_map(rows.join(ta, "leader").join(tb, "id").select("leader", "id", "n", "root", "ta", "tb"), run, "leader long, id long, n long, root long, inside long, outside array<long>")
+    return arrow_map(rows.join(ta, "leader").join(tb, "id").select("leader", "id", "n", "root", "ta", "tb"), run, "leader long, id long, n long, root long, slack long, diff array<long>")
+
+
+def _enough(left, slacks, percent: int):
+    """Whether so many shared places of two diffs can make a link."""
+    return left * (2 * (100 + percent)) >= slacks
+
+
+def _by_difference(large: DataFrame, percent: int) -> DataFrame:
+    """key, id, n, root, slack, left, leader: the places of each diff from which on a link is possible (left: places from here on).
+
+    The leader's component has been tried against the leader, so one of a new link's ends lies outside it;
+    the smallest slack of the other end bounds what must be shared, and places too late for that go.
+    """
+    main = F.max_by("root", F.col("id") == F.col("leader"))
+    of_leader = large.groupBy("leader").agg(main.alias("main"))
+    rows = large.where("id <> leader").join(of_leader, "leader")
+    least = rows.groupBy("leader").agg(F.min("slack").alias("any"), F.min(F.when(F.col("root") != F.col("main"), F.col("slack"))).alias("outer"))
+    other = F.when(F.col("root") == F.col("main"), F.col("outer")).otherwise(F.col("any"))
+    placed = rows.join(least, "leader").select("id", "n", "root", "slack", other.alias("other"), F.size("diff").alias("size"), F.posexplode("diff").alias("at", "key"))
+    left = (F.col("size") - F.col("at")).cast("long")
+    return placed.where(_enough(left, F.col("slack") + F.col("other"), percent)).select("key", "id", "n", "root", "slack", left.alias("left"))
+
+
+def _difference_stars(places: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The places whose key has several components, and the pairs of each key's smallest id with the others that could be links."""
+    crowd = places.groupBy("key").agg(F.min(F.struct("id", "n", "slack", "left")).alias("leader"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    met = checkpointed(places.join(crowd.where("lo <> hi").select("key", "leader"), "key"))
+    possible = _enough(F.least("left", "leader.left"), F.col("slack") + F.col("leader.slack"), percent)
+    return met, met.where(possible & (F.col("id") != F.col("leader.id"))).select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def _inside(large: DataFrame, percent: int) -> DataFrame:
-    """Pairs that could be linked by shingles of their leader alone: both have enough of these for their sizes."""
-    enough = lambda inside, sizes: inside * (100 + percent) >= sizes * percent
-    least = large.groupBy("leader").agg(F.min("n").alias("n_least"), F.max_by("root", F.col("id") == F.col("leader")).alias("main"))
-    rows = large.join(least, "leader").where(enough(F.col("inside"), F.col("n") + F.col("n_least"))).select("leader", "id", "n", "root", "inside", "main")
-    condition = (F.col("x.root") != F.col("y.root")) & enough(F.least("x.inside", "y.inside"), F.col("x.n") + F.col("y.n")) & (F.col("y.id") != F.col("y.leader"))
-    return _pairs(rows.where("root <> main"), rows, "leader", condition)
+def _difference_pairs(met: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of different components whose diffs can share enough, as seen from the first place they share."""
+    others = _open(met, roots, "slack", "left").where("id <> leader")
+    condition = (F.col("x.root") < F.col("y.root")) & _enough(F.least("x.left", "y.left"), F.col("x.slack") + F.col("y.slack"), percent)
+    return _pairs(others, others, "key", condition)
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -219,12 +252,10 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     rest = checkpointed(_open(met, roots))
     more = verify(_across(rest.where(F.col("size") <= SMALL), percent))
     if not rest.where(F.col("size") > SMALL).isEmpty():
-        large = checkpointed(_against_leader(rest.where(F.col("size") > SMALL), texts, shingle))
-        more = more.union(verify(_inside(large, percent)))
-        second = checkpointed(_met(large.select("id", "n", "root", F.explode("outside").alias("key")), "root"))
-        links = verify(_stars(second, percent))
-        roots = connected_components(_edges(roots).union(links))
-        more = more.union(verify(_across(_open(second, roots), percent)))
+        large = checkpointed(_against_leader(rest.where(F.col("size") > SMALL), texts, shingle, percent))
+        second, stars = _difference_stars(_by_difference(large, percent), percent)
+        roots = connected_components(_edges(roots).union(verify(stars)))
+        more = more.union(verify(_difference_pairs(second, roots, percent)))
     if not more.isEmpty():
         roots = connected_components(_edges(roots).union(more))
     of_class = classes.select("cls", F.col("id").alias("rep"))

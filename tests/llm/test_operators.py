@@ -41,6 +41,11 @@ def near_texts():
         for _ in range(pick.randrange(8)):
             w[pick.randrange(len(w))] = f"x{pick.randrange(10**6)}"
         out.append(" ".join(w))
+    for _ in range(6):  # families far from the bucket's leader, whose members are near to each other
+        own = [w if pick.random() > 0.04 else f"y{pick.randrange(9)}" for w in base]
+        for _ in range(12):
+            at = sorted(pick.sample(range(len(own)), 4))
+            out.append(" ".join(w for i, w in enumerate(own) if i not in at[: pick.randrange(5)]))
     out += [" ".join(f"v{pick.randrange(300)}" for _ in range(pick.randrange(1, 60))) for _ in range(20)]
     return list(enumerate(out + out[5:9]))
 
