@@ -179,26 +179,29 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
 
 
 def _against_leader(rest: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Members of large buckets: leader, id, n, root, slack, diff.
+    """Members of large buckets: leader, id, n, root, slack, linked (with the leader), diff.
 
-    diff: keys of the shingles that only one of the member and its leader has, in one order for all
+    Buckets that share members have one leader, so each member has one row. diff: keys of the shingles that only one of the member and its leader has, in one order for all
     members of a leader (the member's own first). slack: (100 + percent) * |diff| - (100 - percent) * n;
     two members can only be linked if 2 * (100 + percent) times what their diffs share is no less than the sum of their slacks.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "ta"):
-            slack, diff = [], []
+            slack, linked, diff = [], [], []
             leaders = batch.column("leader").to_numpy().astype(U64)
             for leader, x, y in zip(leaders, shingle_sets(batch.column("ta"), shingle), shingle_sets(batch.column("tb"), shingle), strict=True):
                 own = np.concatenate([np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)])
                 slack.append((100 + percent) * len(own) - (100 - percent) * len(y))
+                linked.append(slack[-1] <= (100 - percent) * len(x))
                 diff.append(mix(own ^ mix(np.array([leader], U64))).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("leader", "id", "n", "root")), pa.array(slack, pa.int64()), pa.array(diff, pa.list_(pa.int64()))], ["leader", "id", "n", "root", "slack", "diff"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("leader", "id", "n", "root")), pa.array(slack, pa.int64()), pa.array(linked), pa.array(diff, pa.list_(pa.int64()))], ["leader", "id", "n", "root", "slack", "linked", "diff"])
 
-    rows = rest.select("leader", "id", "n", "root").distinct()
+    groups = connected_components(rest.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()).select("node", F.col("root").alias("leader"))
+    members = rest.select("id", "n", "root").distinct()
+    rows = members.join(groups, members["id"] == groups["node"], "left").select(F.coalesce("leader", "id").alias("leader"), "id", "n", "root")
     ta, tb = texts.select(F.col("id").alias("leader"), F.col("text").alias("ta")), texts.select("id", F.col("text").alias("tb"))
-    return arrow_map(rows.join(ta, "leader").join(tb, "id").select("leader", "id", "n", "root", "ta", "tb"), run, "leader long, id long, n long, root long, slack long, diff array<long>")
+    return arrow_map(rows.join(ta, "leader").join(tb, "id").select("leader", "id", "n", "root", "ta", "tb"), run, "leader long, id long, n long, root long, slack long, linked boolean, diff array<long>")
 
 
 def _enough(left, slacks, percent: int):
@@ -207,19 +210,20 @@ def _enough(left, slacks, percent: int):
 
 
 def _by_difference(large: DataFrame, percent: int) -> DataFrame:
-    """key, id, n, root, slack, left, leader: the places of each diff from which on a link is possible (left: places from here on).
+    """key, id, n, root, slack, left: the places of each diff from which on a link is possible (left: places from here on).
 
     The leader's component has been tried against the leader, so one of a new link's ends lies outside it;
     the smallest slack of the other end bounds what must be shared, and places too late for that go.
     """
     main = F.max_by("root", F.col("id") == F.col("leader"))
     of_leader = large.groupBy("leader").agg(main.alias("main"))
-    rows = large.where("id <> leader").join(of_leader, "leader")
+    rows = large.where("id <> leader").join(of_leader, "leader").withColumn("root", F.when(F.col("linked"), F.col("main")).otherwise(F.col("root")))
     least = rows.groupBy("leader").agg(F.min("slack").alias("any"), F.min(F.when(F.col("root") != F.col("main"), F.col("slack"))).alias("outer"))
     other = F.when(F.col("root") == F.col("main"), F.col("outer")).otherwise(F.col("any"))
-    placed = rows.join(least, "leader").select("id", "n", "root", "slack", other.alias("other"), F.size("diff").alias("size"), F.posexplode("diff").alias("at", "key"))
-    left = (F.col("size") - F.col("at")).cast("long")
-    return placed.where(_enough(left, F.col("slack") + F.col("other"), percent)).select("key", "id", "n", "root", "slack", left.alias("left"))
+    must = F.ceil((F.col("slack") + other) / (2 * (100 + percent)))
+    able = rows.join(least, "leader").withColumn("size", F.size("diff")).withColumn("first", F.col("size") - F.greatest(must, F.lit(1)) + 1).where("first > 0")
+    placed = able.select("id", "n", "root", "slack", "size", F.posexplode(F.slice("diff", F.lit(1), F.col("first").cast("int"))).alias("at", "key"))
+    return placed.select("key", "id", "n", "root", "slack", (F.col("size") - F.col("at")).cast("long").alias("left"))
 
 
 def _difference_stars(places: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -254,7 +258,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     if not rest.where(F.col("size") > SMALL).isEmpty():
         large = checkpointed(_against_leader(rest.where(F.col("size") > SMALL), texts, shingle, percent))
         second, stars = _difference_stars(_by_difference(large, percent), percent)
-        roots = connected_components(_edges(roots).union(verify(stars)))
+        roots = connected_components(_edges(roots).union(verify(stars)).union(large.where("linked and id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))))
         more = more.union(verify(_difference_pairs(second, roots, percent)))
     if not more.isEmpty():
         roots = connected_components(_edges(roots).union(more))
