@@ -50,7 +50,7 @@ def q_hierarchy_rollup(spark, d):
     t = lambda n: table(spark, d, n)
     lines = t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"))
     orders = t("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.sum("lines").alias("lines"))
-    rows = t("customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = t("customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.groupBy("n_regionkey").agg(F.count("*").alias("customers"), F.sum("orders").cast("long").alias("orders"), F.sum("lines").cast("long").alias("lines"))
 
 
@@ -62,7 +62,7 @@ def q_size_filter(spark, d):
 def q_grid_gaps(spark, d):
     """The expected grid (distinct xs times distinct ys) without what is there."""
     p = table(spark, d, "part").select("p_size", "p_brand").distinct()
-    return p.select("p_size").distinct().crossJoin(F.broadcast(p.select("p_brand").distinct())).join(p, ["p_size", "p_brand"], "left_anti")
+    return p.select("p_size").distinct().crossJoin(p.select("p_brand").distinct()).join(p, ["p_size", "p_brand"], "left_anti")
 
 
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}

@@ -10,11 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rinkframe.functions import geometry, naming
-from rinkframe.operators import records, sequences, sets
+from rinkframe.operators import books, pixels, records, sequences, sets
+from rinkframe.streaming import queue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (sequences, sets, records, geometry, naming):
+for module in (sequences, sets, records, books, pixels, geometry, naming, queue):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
 

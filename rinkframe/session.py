@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -24,3 +26,13 @@ def local_session(cpus: str | int = "*", app: str = "rinkframe", partitions: int
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir, which driver and executors share; in local mode alone a temporary folder may stand in."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="rinkframe-")
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
