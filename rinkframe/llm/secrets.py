@@ -1,7 +1,7 @@
 """Secret scans: patterns, and a battery of randomness tests. DataFrame functions only.
 
 Base spans come from three patterns. The battery looks at every other run of token characters of at
-least MIN_LENGTH that has a letter and a digit. Its encoding is inferred (hex, base 32, base 36,
+least MIN_LENGTH that has a letter ("=" counts only as padding, so the value of key=value is a run of its own). Its encoding is inferred (hex, base 32, base 36,
 base 64) and with it the alphabet; three tests ask whether the run looks like uniform draws from
 that alphabet: chi-squared of the symbol counts, Wald-Wolfowitz runs above and below the middle of
 the alphabet, and lag-1 serial correlation. Each gives a two-sided normal p-value (chi-squared by
@@ -25,7 +25,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]+"
 #: Maximal runs; runs below the length would be dropped anyway, so the pattern asks for it.
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}"
+#: "=" is padding at the end of a run only; elsewhere it parts a key from its value.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?"
 MIN_LENGTH, FDR, BINS = 24, 0.01, 1000
 SPAN = "array<struct<start:int,stop:int,text:string>>"
 
@@ -98,7 +99,7 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
         spans(text, ASSIGN, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6).alias("assign"),
         spans(text, ACCESS, lambda m: F.length(m) >= 20).alias("access"),
         spans(text, HEX, lambda m: F.length(m) >= 24).alias("hex"),
-        spans(text, TOKEN, lambda m: (F.length(m) >= MIN_LENGTH) & m.rlike("[0-9]") & m.rlike("[A-Za-z]")).alias("tokens"),
+        spans(text, TOKEN, lambda m: (F.length(m) >= MIN_LENGTH) & m.rlike("[A-Za-z]")).alias("tokens"),
     )
     known = F.concat("assign", "access", "hex")
     base = base.withColumn("tokens", F.filter("tokens", lambda t: ~F.exists(known, lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"]))))

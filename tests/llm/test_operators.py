@@ -98,6 +98,13 @@ def test_secret_spans(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id int, text string")).count() == 0
 
 
+def test_secret_values_after_equals_signs(spark):
+    value = "wJalrXUtnFEMI/K7MDENGbPxRfiCYzZ4Qd9Lk2Tq"
+    texts = [f"AWS_SECRET_ACCESS_KEY={value}", f"see client_key={value}== now", f"a=b&sig={value}", "auth=xDWyAEjAGPepeQKcZYIGiaBdjmbywRAH", f"{value}="]
+    got = {r.doc_id: [s.text for s in r.random] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert got == {0: [value], 1: [f"{value}=="], 2: [value], 3: ["xDWyAEjAGPepeQKcZYIGiaBdjmbywRAH"], 4: [f"{value}="]}
+
+
 def test_audio_round_trip_and_resync():
     for text in (b"", b"x" * 63, b"y" * 64, bytes(range(256)) * 40, b"\xff\xfb\x90\xc0" * 700):
         data = mpeg_audio.pad64(text)
