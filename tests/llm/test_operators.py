@@ -105,6 +105,16 @@ def test_secret_values_after_equals_signs(spark):
     assert got == {0: [value], 1: [f"{value}=="], 2: [value], 3: ["xDWyAEjAGPepeQKcZYIGiaBdjmbywRAH"], 4: [f"{value}="]}
 
 
+def test_a_single_slug_is_not_a_secret(spark):
+    pick = random.Random(4)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(pick.choices(signs, k=52)) for _ in range(40)]
+    slug = "the-quick-brown-fox-jumps-over-2-lazy-dogs-and-1-cat"
+    df = spark.createDataFrame(list(enumerate([*keys, f"see {slug} there"])), "doc_id int, text string")
+    got = {r.doc_id: [s.text for s in r.random] for r in secrets.scan(df).collect()}
+    assert got == {i: [k] for i, k in enumerate(keys)} | {40: []}
+
+
 def test_audio_round_trip_and_resync():
     for text in (b"", b"x" * 63, b"y" * 64, bytes(range(256)) * 40, b"\xff\xfb\x90\xc0" * 700):
         data = mpeg_audio.pad64(text)
