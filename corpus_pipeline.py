@@ -30,8 +30,12 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One row of each component: that of the smallest doc_id, rows without one last. A row's key is a digest of its id and text, so ids may be null or shared."""
+    rows = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("__row"))
+    found = near_dedup.near_duplicates(rows, id_col="__row", percent=NEAR_PERCENT).select("__row", "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))
+    kept = rows.select("__row", "doc_id").join(found, "__row").groupBy("component_id").agg(first.alias("first")).select(F.col("first.__row").alias("__row"))
+    return rows.join(kept, "__row").dropDuplicates(["__row"]).select(*COLUMNS)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

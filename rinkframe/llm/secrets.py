@@ -97,6 +97,8 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     base = documents.select(
         id_col,
         *keep,
+        # ids may be null or shared: rows of one key have one id and text, and so the same spans
+        F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\0"), text).cast("binary")).alias("__row"),
         spans(text, ASSIGN, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6).alias("assign"),
         spans(text, ACCESS, lambda m: F.length(m) >= 20).alias("access"),
         spans(text, HEX, lambda m: F.length(m) >= 24).alias("hex"),
@@ -114,8 +116,8 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     ranked = counts.withColumn("m", F.sum("c").over(w)).withColumn("upto", F.sum("c").over(w.orderBy(F.desc("bin"))))
     cut = ranked.where(F.pow(F.lit(10.0), -F.col("bin") / BINS) <= F.col("upto") * FDR / F.col("m")).groupBy("size").agg(F.min("bin").alias("cut"))
     random = scored.join(F.broadcast(cut), "size", "left").where("cut is null or bin < cut").select("token")
-    rows = base.select(id_col, F.posexplode("tokens").alias("i", "t")).join(random, F.col("t.text") == F.col("token")).groupBy(id_col).agg(F.array_sort(F.collect_set("t")).alias("random"))
-    return base.drop("tokens").join(rows, id_col, "left").withColumn("random", F.coalesce("random", F.expr(f"cast(array() as {SPAN})")))
+    rows = base.select("__row", F.explode("tokens").alias("t")).join(random, F.col("t.text") == F.col("token")).groupBy("__row").agg(F.array_sort(F.collect_set("t")).alias("random"))
+    return base.drop("tokens").join(rows, "__row", "left").drop("__row").withColumn("random", F.coalesce("random", F.expr(f"cast(array() as {SPAN})")))
 
 
 def _tagged(kind: str, i: int) -> Column:

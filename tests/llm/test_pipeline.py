@@ -15,3 +15,19 @@ def test_near_copies_from_eighty_percent(spark):
     rows += [(100, " ".join(f"y{j}" for j in range(200))), (101, " ".join(f"y{j}" if j < 174 else f"z{j}" for j in range(200)))]  # 170 of 222: 0.77
     got = corpus_pipeline.near_copies(spark, documents(spark, rows), "").collect()
     assert sorted(r.doc_id for r in got) == [*range(0, 40, 2), 100, 101]
+
+
+def test_near_copies_of_null_and_shared_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{j}" for j in range(50)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b + " more"), (1, c), (1, d), (2, c), (3, a), (4, None), (4, None), (None, None)]
+    got = corpus_pipeline.near_copies(spark, documents(spark, rows), "").collect()
+    # of a the row with an id, of b one, of c the smallest id; d shares an id with c, and texts without words stay
+    assert len(got) == 6 and sum(r.doc_id is None and (r.text or "").startswith(b) for r in got) == 1
+    assert {(r.doc_id, r.text) for r in got if r.doc_id or not r.text} == {(3, a), (1, c), (1, d), (4, None), (None, None)}
+
+
+def test_random_spans_of_null_and_shared_ids(spark):
+    keys = ["wJalrXUtnFEMI/K7MDENGbPxRfiCYzZ4Qd9Lk2Tq", "xDWyAEjAGPepeQKcZYIGiaBdjmbywRAH"]
+    rows = [(None, f"a {keys[0]}"), (5, f"b {keys[0]}"), (5, f"longer text {keys[1]}"), (5, "nothing"), (5, f"b {keys[0]}")]
+    got = corpus_pipeline.redact_secrets(spark, documents(spark, rows), "").collect()
+    assert sorted(r.text for r in got) == ["a [SECRET]", "b [SECRET]", "b [SECRET]", "longer text [SECRET]", "nothing"]
