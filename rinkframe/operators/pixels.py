@@ -41,7 +41,7 @@ def q_rotate_mask(spark, d):
     empty = F.forall(F.slice("embedding", 2, 3), lambda x: x <= 0)
     turned = F.when(empty, F.reverse("embedding")).otherwise(F.col("embedding"))
     masked = F.transform(turned, lambda x, i: F.when((i < 4) | (i >= F.size("embedding") - 4), F.lit(1.0).cast("float")).otherwise(x))
-    return table(spark, d, "embeddings").select("vec_id", empty.alias("turned"), F.posexplode(masked).alias("at", "pixel")).where("at < 6")
+    return table(spark, d, "embeddings").select("vec_id", empty.alias("turned"), F.posexplode(masked).alias("at", "pixel"))
 
 
 def q_box_suppression(spark, d):
