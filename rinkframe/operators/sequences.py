@@ -17,9 +17,16 @@ def page_sequence(pages: DataFrame, doc: str, order: list[str], is_game, is_deta
 
 
 def possession(rounds: DataFrame, by: list[str], order: list[str], a: str, b: str, start: str, alternate: bool = False) -> DataFrame:
-    """The side that has the last stone. The scorer's opponent gets it next; a blank keeps it, or passes it on if `alternate`."""
+    """The side that has the last stone. The scorer's opponent gets it next; a blank (equal digits) keeps it, or passes it on if `alternate`.
+
+    F15: after a round whose scores aren't both digits nobody is known to have it, so the rounds after the first such go; so do groups without a start.
+    """
     before = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    won = F.when(F.col(a) > F.col(b), 1).when(F.col(a) < F.col(b), 0)
+    digits = lambda c: F.coalesce(F.col(c).cast("string").rlike(r"^[0-9]+\z"), F.lit(False))
+    unread = F.sum((~(digits(a) & digits(b))).cast("int")).over(before)
+    rounds = rounds.withColumn("__unread", F.coalesce(unread, F.lit(0))).where((F.col("__unread") == 0) & F.col(start).isNotNull()).drop("__unread")
+    x, y = F.col(a).try_cast("long"), F.col(b).try_cast("long")
+    won = F.when(x > y, 1).when(x < y, 0)
     base = F.coalesce(F.last(won, ignorenulls=True).over(before), F.col(start))
     if not alternate:
         return rounds.withColumn("hammer", base.cast("int"))
@@ -47,7 +54,9 @@ def q_page_sequence(spark, d):
 
 def _rounds(spark, d):
     e = page_sequence(_events(spark, d), "user_id", ["ts", "event_id"], F.col("event_type") == "signup", F.lit(True))
-    return e.select("event_id", "ts", "user_id", "game_seq", (F.col("event_id") % 3).alias("a"), (F.floor(F.col("event_id") / 3) % 3).alias("b"), F.lit(0).alias("start"))
+    # an error row is an end without digits
+    digits = lambda x: F.when(F.col("event_type") == "error", None).otherwise(x)
+    return e.select("event_id", "ts", "user_id", "game_seq", digits(F.col("event_id") % 3).alias("a"), digits(F.floor(F.col("event_id") / 3) % 3).alias("b"), F.lit(0).alias("start"))
 
 
 def q_possession_keep(spark, d):

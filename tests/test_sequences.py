@@ -1,9 +1,13 @@
 import random
+from collections import defaultdict
 
+import duckdb
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from rinkframe.functions.geometry import sheet_coordinates
 from rinkframe.functions.naming import category, event_name, year
+from rinkframe.operators import sequences
 from rinkframe.operators.sequences import possession, whole_pages_until
 
 
@@ -26,6 +30,37 @@ def test_possession_equals_the_fold(spark):
             assert [got[g, i] for i in range(len(game))] == fold(game, g % 2, alternate)
 
 
+def test_possession_ends_at_the_first_end_without_digits(spark):
+    games = {1: [("1", "0"), ("10", "9"), ("0", "0"), ("X", "X"), ("1", "0")], 2: [("0", "1"), (None, "0"), ("0", "0")], 3: [("", ""), ("1", "0")], 4: [("1", "0"), ("0", "0")]}
+    df = spark.createDataFrame([(g, i, a, b, None if g == 4 else 0) for g, game in games.items() for i, (a, b) in enumerate(game)], "g int, i int, a string, b string, start int")
+    for alternate, third in ((False, 1), (True, 0)):
+        got = {(r.g, r.i): r.hammer for r in possession(df, ["g"], ["i"], "a", "b", "start", alternate).collect()}
+        assert got == {(1, 0): 0, (1, 1): 1, (1, 2): 1, (1, 3): third, (2, 0): 0, (2, 1): 0, (3, 0): 0}
+
+
+def test_possession_queries_end_at_error_rows(spark, tmp_path):
+    pick = random.Random(6)
+    rows = [(i, i // 3, pick.randrange(4), pick.choice(["signup", "view", "click", "purchase", "view", "click", "error"])) for i in range(600)]
+    spark.createDataFrame(rows, "event_id long, ts long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    games = defaultdict(list)
+    seen = defaultdict(int)
+    for i, _, user, kind in rows:
+        seen[user] += kind == "signup"
+        if seen[user]:
+            games[user, seen[user]].append((i, kind))
+    events = pq.read_table(f"{tmp_path}/events.parquet")  # noqa: F841
+    for name, alternate in (("possession_keep", False), ("possession_alternate", True)):
+        want = {}
+        for game in games.values():
+            last = next((n for n, (_, kind) in enumerate(game) if kind == "error"), len(game) - 1)
+            ids = [i for i, _ in game[: last + 1]]
+            want |= zip(ids, fold([(i % 3, i // 3 % 3) for i in ids], 0, alternate), strict=True)
+        got = sequences.QUERIES[name](spark, str(tmp_path))
+        assert {r.event_id: r.hammer for r in got.collect()} == want and got.count() == len(want) < sum(map(len, games.values()))
+        sql = dict(duckdb.sql(sequences.ORACLE_SQL[name]).fetchall())
+        assert all(sql[i] == hammer for i, hammer in want.items())
+
+
 def test_page_budget_keeps_whole_pages(spark):
     df = spark.createDataFrame([(1, 16), (2, 16), (3, 16)], "page int, n int")
     assert [r.page for r in whole_pages_until(df, ["page"], "n", 20).orderBy("page").collect()] == [1, 2]
