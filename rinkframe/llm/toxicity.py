@@ -1,7 +1,7 @@
 """Toxicity by compression distance with zstandard dictionaries.
 
 Two dictionaries are made from a bounded sample of labelled rows: one of ordinary text, and one that
-has fragments of toxic text behind the same ordinary text (nearest, where match tables keep them). Each window of a document is compressed
+has fragments of toxic text (word n-grams chosen by contrast of frequencies, so a mislabelled row rules none out) behind the same ordinary text (nearest, where match tables keep them). Each window of a document is compressed
 with both; the bytes that the toxic fragments save are its distance. As the ordinary parts
 and their offsets are the same in both (zeros stand in for the fragments), ordinary windows save nothing or next to it, and a single
 toxic word shows. A logistic calibration of the largest saving, the mean saving and the share of
@@ -16,6 +16,7 @@ repeat; without labelled rows of both classes every score is 0; extra columns ar
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -30,6 +31,8 @@ from .common import arrow_map, steps, table
 
 #: Labelled rows of each class to learn from, and characters of each that the sample takes.
 SAMPLE, SAMPLE_CHARS = 1500, 6000
+#: Toxic fragments are n-grams of up to GRAM words, RATIO times as frequent in toxic texts, with a log-likelihood ratio of CHANCE (p of 1e-6).
+GRAM, RATIO, CHANCE = 3, 4, 24.0
 WINDOW, ORDINARY_BYTES, TOXIC_BYTES, LEVEL, THRESHOLD = 160, 112_000, 48_000, 3, 0.7
 
 
@@ -58,17 +61,41 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30)))
 
 
+def fragments(text: str | None, most: int = GRAM) -> set[str]:
+    """The word n-grams of a text, up to `most` words."""
+    words = re.findall(r"\w+", (text or "").lower())
+    return {" ".join(words[i : i + n]) for n in range(1, most + 1) for i in range(len(words) - n + 1)}
+
+
+def contrast(toxic: list[str | None], clean: list[str | None]) -> list[tuple[float, str]]:
+    """(log-likelihood ratio, fragment), ascending: fragments in a share of the toxic texts that is RATIO times their share of the clean ones, beyond chance."""
+    a, na, nb, out = Counter(), len(toxic), len(clean), []
+    for n in range(1, GRAM + 1):
+        # an n-gram is as rare as its parts, so few need counting
+        level = Counter(w for t in toxic for w in fragments(t, n) if w.count(" ") == n - 1 and (n == 1 or (w.rpartition(" ")[0] in a and w.partition(" ")[2] in a)))
+        a.update({w: k for w, k in level.items() if k >= 3})
+    b = Counter(w for t in clean for w in fragments(t) if w in a)
+
+    def fits(k: int, n: int, p: float) -> float:
+        return (k * math.log(p) if k else 0.0) + ((n - k) * math.log(1 - p) if k < n else 0.0)
+
+    for w, k in a.items():
+        if nb and (k + 0.5) * (nb + 1) >= RATIO * (b[w] + 0.5) * (na + 1):
+            g = 2 * (fits(k, na, k / na) + fits(b[w], nb, b[w] / nb) - fits(k, na, (k + b[w]) / (na + nb)) - fits(b[w], nb, (k + b[w]) / (na + nb)))
+            if g >= CHANCE:
+                out.append((g, w))
+    return sorted(out)
+
+
 def fit(rows: list[tuple[str | None, int]]) -> Model:
     """rows: (text, toxic). A third of them calibrate, the rest make the dictionaries."""
     learn, check = [r for i, r in enumerate(rows) if i % 3], rows[::3]
-    clean = [(t or "").lower() for t, y in learn if not y]
-    base = "\n".join(clean)
-    seen = Counter(w for t, y in learn if y for w in set(re.findall(r"\w+", (t or "").lower())))
-    known = set(re.findall(r"\w+", base))
-    least = max(3, sum(y for _, y in learn) // 60)
-    # fragments that several toxic texts have and no ordinary one; the most frequent come last, nearest
-    words = sorted((n, w) for w, n in seen.items() if n >= least and w not in known)
-    toxic = " ".join(w for _, w in words).encode()[-TOXIC_BYTES:]
+    bad = contrast([t for t, y in learn if y], [t for t, y in learn if not y])
+    # the most telling come last, nearest
+    toxic = " ".join(w for _, w in bad).encode()[-TOXIC_BYTES:]
+    # clean or mislabelled rows that hold a fragment would hide it from the comparison
+    chosen = {w for _, w in bad}
+    base = "\n".join((t or "").lower() for t, y in learn if not y and chosen.isdisjoint(fragments(t)))
     model = Model(base.encode()[-ORDINARY_BYTES:], b" " + toxic + b" ")
     y = np.array([v for _, v in check], float)
     if not toxic or not y.any() or y.all():

@@ -1,13 +1,14 @@
 """Models: held-out accuracy, brute force, and defined results of odd rows."""
 
 import math
+import random
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from rinkframe.llm import html_text, kneser_ney, language
+from rinkframe.llm import html_text, kneser_ney, language, toxicity
 
 EN, DE = "the cat sat on the mat and then she went home ", "der hund lief über die straße und dann nach hause "
 
@@ -122,3 +123,21 @@ def test_quality_of_odd_rows(spark):
     assert all(kept[i] for i in range(20)) and kept[33] and not (kept[30] or kept[31] or kept[32])
     nobody = kneser_ney.quality(df, trusted.limit(0)).collect()
     assert {r.doc_id: r.kept for r in nobody}[30] and all(r.perplexity is None for r in nobody)
+
+
+def test_toxic_words_of_mislabelled_rows_and_phrases():
+    pick = random.Random(8)
+    plain = lambda: [f"{pick.choice('bdgklm')}{pick.choice('aeiou')}{pick.choice('nrst')}{pick.choice('aeiou')}" for _ in range(40)]
+
+    def text(*extra):
+        words = plain()
+        for x in extra:
+            words.insert(pick.randrange(len(words)), x)
+        return " ".join(words)
+
+    rows = [(text("zorgwit"), 1) if i % 4 == 0 else (text("go jump off"), 1) if i % 4 == 1 else (text(*pick.choice([(), ("go",), ("jump",), ("off",)])), 0) for i in range(600)]
+    rows[7] = (text("zorgwit"), 0)  # a row of the dictionaries' part, labelled wrongly
+    model = toxicity.fit(rows)
+    of = lambda make: np.mean(model.score(np.array([model.features(make()) for _ in range(50)])) >= toxicity.THRESHOLD)
+    assert of(lambda: text("zorgwit")) > 0.9 and of(lambda: text("go jump off")) > 0.5
+    assert of(lambda: text("jump")) < 0.1 and of(text) < 0.1
