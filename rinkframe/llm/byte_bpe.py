@@ -1,22 +1,25 @@
 """Byte-level BPE encoding and decoding with a fixed public vocabulary.
 
 Encoding is done once for each distinct word of a task's documents. A Python step splits the
-texts by the vocabulary's pattern and writes one row for each chunk: its documents, the distinct
-words that the task has not met before as arrays of byte ids, and every document as numbers of words. Spark's higher-order
-functions then fold the ranked merges over the byte arrays: each step of aggregate() finds the
-lowest rank among adjacent pairs (the leftmost of equals), joins that pair and ranks its two new neighbours. The ranks are a
-literal map, laid out as two literal arrays so that a look-up is two element reads: the
-entry of (left, right) is at base[left] + right. Last, numpy puts the documents' ids together from
-those of their words, and decoding gathers the ids' byte pieces and concatenates them.
+texts by the vocabulary's pattern and writes chunks: documents as numbers of words, and the distinct
+words that the task has not met before as arrays with one long for each byte. Spark's higher-order functions then
+fold the ranked merges over these arrays. A long holds the rank of its part's pair with the next part, the
+part's place and its id, in this order of bits; so a step of aggregate() takes the array's minimum (the lowest rank, the
+leftmost of equals), joins that pair and ranks its two new neighbours. The ranks are a literal map laid out as
+one literal array, so that a look-up is two element reads: the entry of (left, right) is at
+table[left] + right. Last, a Python step puts the documents' ids together from those of their words, and decodes
+each document by concatenating the binary pieces of its ids.
 
 All steps are narrow: nothing is shuffled, collected or broadcast, a lost task only repeats its own
-chunks, and a chunk is bounded by CHUNK_BYTES of text (or one longer document). A word that is in
-the vocabulary as a whole is its own token, as in the tiktoken library. The fold is quadratic
-in a word's bytes, so words of over LONG_BYTES (runs without spaces, mostly hostile) are merged with
+chunks, and a chunk is bounded by CHUNK_BYTES of text or CHUNK_WORDS new words (or one longer document). Both Python steps
+run in the same task, one behind the other, so that word numbers of earlier chunks stay known; a task that is
+run again builds them anew. A word that is in the vocabulary as a whole is its own token, as in the tiktoken library. The
+fold is quadratic in a word's bytes, so words of over LONG_BYTES (runs without spaces, mostly hostile) are merged with
 a heap in the Python step instead; the ids are the same.
 
 Defined results: null and empty texts give no tokens; ids, order and repeated rows are kept as
-they are; empty tables give no rows; extra columns are ignored unless named in `keep`.
+they are; empty tables give no rows; extra columns are ignored unless named in `keep`, where any name
+that the table has will do, but for `ids` and `decoded` (an error).
 """
 
 from __future__ import annotations
@@ -39,12 +42,10 @@ from .common import arrow_map, steps, table, tokenizer_file
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how the vocabulary's texts are split. \\s of the reference library is Unicode's White_Space.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES, CHUNK_WORDS = 4 << 20, 1 << 16
 LONG_BYTES = 400
-#: Ranks are below NO_PAIR; what doesn't merge has NO_PAIR or more.
-NO_PAIR, NONE = 1 << 16, 1 << 40
-#: Before and after the ids of a word.
-END = -1
+#: A part: rank of its pair with the next part (NONE if they don't merge), place, id. ids are below NONE.
+NONE, RANK_AT, PLACE_AT, LOW = (1 << 16) - 1, 47, 16, (1 << 16) - 1
 #: A task forgets its words after so many.
 MAX_WORDS = 1 << 20
 
@@ -56,8 +57,8 @@ def ranks(path: str) -> dict[bytes, int]:
 
 
 @functools.cache
-def merge_table(path: str) -> tuple[list[int], list[int]]:
-    """(base, entries): ids a, b merge to id r if entries[base[a] + b] == a << 16 | r."""
+def merge_table(path: str) -> list[int]:
+    """ids a, b merge to id r if table[table[a] + b] == a + 1 << 16 | r. The bases of all ids come first, then the entries; free places are 0."""
     of = ranks(path)
     rows: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for word, r in of.items():
@@ -65,55 +66,59 @@ def merge_table(path: str) -> tuple[list[int], list[int]]:
             a, b = of.get(word[:i]), of.get(word[i:])
             if a is not None and b is not None:
                 rows[a].append((b, r))
-    span = max(of.values()) + 1
-    if span > 1 << 16:
+    if max(of.values()) >= NONE:
         raise ValueError("ids beyond 16 bits")
-    n = 10 * sum(map(len, rows.values())) + 1024  # sparse, so that even long rows soon find a free place
-    entries, base = np.full(n + span, NONE, np.int64), np.zeros(span, np.int64)
-    pick = np.random.default_rng(0)
+    entries, base, taken = {}, {}, 0  # taken: a bit for each place
     for a, row in sorted(rows.items(), key=lambda x: -len(x[1])):
-        at = np.array([b for b, _ in row])
-        while (entries[(k := int(pick.integers(n))) + at] < NONE).any():
-            pass
-        base[a] = k
-        entries[k + at] = [a << 16 | r for _, r in row]
-    return base.tolist(), entries.tolist()
-
-
-def _literal(values: list[int], kind: str) -> Column:
+        least = min(b for b, _ in row)
+        # first fit: the least right part goes to the first place from which all the row's places are free
+        full = 0
+        for b, _ in row:
+            full |= taken >> (b - least)
+        k = (~full & (full + 1)).bit_length() - 1 - least
+        base[a] = k + NONE + 1
+        for b, r in row:
+            entries[k + b] = a + 1 << 16 | r
+            taken |= 1 << (k + b)
+    size = taken.bit_length()  # ids that begin no pair look beyond it
+    return [base.get(i, NONE + 1 + size) for i in range(NONE + 1)] + [entries.get(i, 0) for i in range(size)]
+
+
+def _literal(values: list[int]) -> Column:
     """A literal array; the optimizer folds it once."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def _rank(left: Column, right: Column, base: Column, entries: Column) -> Column:
-    """Rank of the id that left and right merge to; NO_PAIR or more if they don't."""
-    found = F.get(entries, F.get(base, left) + right).bitwiseXOR(left.cast("bigint") * NO_PAIR)
-    return F.coalesce(found, F.lit(NONE))
+def _let(value: Column, then) -> Column:
+    """then(value), where value is computed once."""
+    return F.get(F.transform(F.array(value), then), 0)
 
 
-def fold_merges(parts: Column, pairs: Column, base: Column, entries: Column) -> Column:
-    """parts (ids between two END) after all ranked merges. pairs: the ranks of adjacent parts.
+def fold_merges(parts: Column, table: Column) -> Column:
+    """Parts (with an end, of id NONE, on both sides) after all ranked merges."""
 
-    A step looks up the two pairs that its merge makes; the other ranks move along.
-    """
-    let = lambda value, then: F.get(F.transform(F.array(value), then), 0)
+    def rank(left: Column, right: Column) -> Column:
+        # least() passes over the null of a pair without an entry; that of another left part has high bits
+        return F.shiftleft(F.least(F.get(table, (F.get(table, left) + right).cast("int")).bitwiseXOR(F.shiftleft(left.cast("bigint") + 1, 16)), F.lit(NONE)), RANK_AT)
 
-    def step(state: Column, _: Column) -> Column:
-        p, k = state["p"], state["k"]
+    def part_id(x: Column) -> Column:
+        return x.bitwiseAND(F.lit(LOW)).cast("int")
 
+    def step(e: Column, _: Column) -> Column:
         def merged(m: Column) -> Column:
+            made = F.shiftright(m, RANK_AT).cast("int")
+
             def at_place(at: Column) -> Column:
-                made, many = m.cast("int"), F.size(p)
-                new_p = F.concat(F.slice(p, F.lit(1), at - 1), F.array(made), F.slice(p, at + 2, many))
-                beside = F.array(_rank(F.get(p, at - 2), made, base, entries), _rank(made, F.get(p, at + 1), base, entries))
-                return F.struct(new_p.alias("p"), F.concat(F.slice(k, F.lit(1), at - 2), beside, F.slice(k, at + 2, many)).alias("k"))
+                left = F.get(e, at - 2)
+                beside = rank(part_id(left), made) + left.bitwiseAND(F.lit((1 << RANK_AT) - 1))
+                own = rank(made, part_id(F.get(e, at + 1))) + m.bitwiseAND(F.lit((1 << RANK_AT) - 1 - LOW)) + made
+                return F.concat(F.slice(e, F.lit(1), at - 2), F.array(beside, own), F.slice(e, at + 2, F.size(e)))
 
-            return F.when(m >= NO_PAIR, state).otherwise(let(F.array_position(k, m).cast("int"), at_place))
+            return F.when(m >= NONE << RANK_AT, e).otherwise(_let(F.array_position(e, m).cast("int"), at_place))
 
-        return let(F.array_min(k), merged)
+        return _let(F.array_min(e), merged)
 
-    start = F.struct(parts.alias("p"), pairs.alias("k"))
-    return F.when(F.size(parts) < 4, parts).otherwise(F.aggregate(F.sequence(F.lit(4), F.size(parts)), start, step, lambda s: s["p"]))
+    return F.when(F.size(parts) < 4, parts).otherwise(F.aggregate(F.sequence(F.lit(4), F.size(parts)), parts, step))
 
 
 def heap_merges(word: bytes, of: dict[bytes, int]) -> list[int]:
@@ -156,12 +161,12 @@ def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _chunks(batches: Iterable[pa.RecordBatch], path: str, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Rows (docs: the other columns, codes, counts, words, long) of one chunk each."""
+    """Rows (docs: the other columns, codes, counts, first, words, long) of one chunk each."""
     import regex
 
     of, find = ranks(path), regex.compile(PATTERN).findall
-    byte_id = np.array([of[bytes([b])] for b in range(256)], np.int32)
-    pair_rank = np.full((256, 256), NONE, np.int64)  # the ids of single bytes are below 256
+    byte_id = np.array([of[bytes([b])] for b in range(256)], np.int64)
+    pair_rank = np.full((257, 257), NONE, np.int64)  # of single bytes, whose ids are below 256; 256 is the end
     for a, b in itertools.product(range(256), repeat=2):
         if (r := of.get(bytes([a, b]))) is not None:
             pair_rank[byte_id[a], byte_id[b]] = r
@@ -169,18 +174,17 @@ def _chunks(batches: Iterable[pa.RecordBatch], path: str, chunk_bytes: int) -> I
     def flush(docs: list[pa.RecordBatch], codes: list[np.ndarray], seen: dict[str, int], first: int) -> pa.RecordBatch:
         words = [w.encode() for w in itertools.islice(seen, first, None)]
         long = [heap_merges(w, of) if len(w) > LONG_BYTES and w not in of else None for w in words]
-        whole = np.array([of.get(w, -1) for w in words], np.int32)
+        whole = np.array([of.get(w, -1) for w in words], np.int64)
         size = np.array([len(w) for w in words], np.int64)
         kept = np.where(whole >= 0, 1, np.where([x is None for x in long], size, 0)) if words else size
-        starts = np.cumsum(size) - size
         data = byte_id[np.frombuffer(b"".join(words), np.uint8)]
-        # ids between two ends, and the rank of each pair
         edges = np.concatenate([[0], np.cumsum(kept + 2)])
-        ids = np.full(int(edges[-1]), END, np.int32)
-        ids[_gather(edges[:-1] + 1, kept)] = data[_gather(starts, kept)]
+        ids = np.full(int(edges[-1]), NONE, np.int64)
+        ids[_gather(edges[:-1] + 1, kept)] = data[_gather(np.cumsum(size) - size, kept)]
         ids[edges[:-1][whole >= 0] + 1] = whole[whole >= 0]
-        rank = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), pair_rank[np.minimum(ids[:-1], 255), np.minimum(ids[1:], 255)], NONE) if len(ids) else np.zeros(0, np.int64)
-        rank = np.append(rank, NONE)[_gather(edges[:-1], kept + 1)]
+        # a whole word has ends beside it, which merge with nothing
+        rank = np.append(pair_rank[np.minimum(ids[:-1], 256), np.minimum(ids[1:], 256)], NONE) if len(ids) else ids
+        place = np.arange(len(ids)) - np.repeat(edges[:-1], kept + 2)
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, docs[0].schema) as out:
             for d in docs:
@@ -192,25 +196,23 @@ def _chunks(batches: Iterable[pa.RecordBatch], path: str, chunk_bytes: int) -> I
                 pa.array([np.array([len(c) for c in codes], np.int32).tobytes()], pa.binary()),
                 pa.array([np.concatenate(codes).tobytes()], pa.binary()),
                 pa.array([first], pa.int32()),
-                nested(_ragged(pa.array(ids), edges)),
-                nested(_ragged(pa.array(rank, pa.int64()), np.concatenate([[0], np.cumsum(kept + 1)]))),
+                nested(_ragged(pa.array(rank << RANK_AT | place << PLACE_AT | ids), edges)),
                 nested(pa.array([x or [] for x in long], pa.list_(pa.int32()))) if any(long) else pa.array([[]], pa.list_(pa.list_(pa.int32()))),
             ],
-            ["docs", "counts", "codes", "first", "words", "pairs", "long"],
+            ["docs", "counts", "codes", "first", "words", "long"],
         )
 
     docs, codes, size = [], [], 0
     seen: dict[str, int] = defaultdict(itertools.count().__next__)
     first = 0
     for batch in batches:
-        for part in steps([batch], "__text", chunk_bytes // 4):
-            texts = part.column("__text").to_pylist()
-            for text in texts:
+        for part in steps([batch], "__text", chunk_bytes // 8):
+            for text in part.column("__text").to_pylist():
                 words = find(text) if text else []
                 codes.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
                 size += len(text or "")
             docs.append(part.drop_columns(["__text"]))
-            if size >= chunk_bytes:
+            if size >= chunk_bytes or len(seen) - first >= CHUNK_WORDS:
                 yield flush(docs, codes, seen, first)
                 docs, codes, size = [], [], 0
                 if len(seen) > MAX_WORDS:
@@ -222,19 +224,13 @@ def _chunks(batches: Iterable[pa.RecordBatch], path: str, chunk_bytes: int) -> I
 
 def _documents(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """The documents of the chunks, with ids and decoded bytes."""
-    of = ranks(path)
-    pieces = [b""] * (max(of.values()) + 1)
-    for word, r in of.items():
-        pieces[r] = word
-    piece_size = np.array([len(x) for x in pieces], np.int64)
-    piece_at = np.cumsum(piece_size) - piece_size
-    flat = np.frombuffer(b"".join(pieces), np.uint8)
+    pieces = {r: word for word, r in ranks(path).items()}
     ids, at, size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
         for k in range(batch.num_rows):
-            lists = batch.column("ids")[k].values
-            new = lists.values.to_numpy(zero_copy_only=False)[lists.offsets[0].as_py() :] if len(lists) else np.zeros(0, np.int32)
+            lists = batch.column("words")[k].values
             edges = lists.offsets.to_numpy().astype(np.int64) if len(lists) else np.zeros(1, np.int64)
+            new = lists.values.to_numpy(zero_copy_only=False)[edges[0] : edges[-1]] if len(lists) else np.zeros(0, np.int32)
             new_at, new_size = edges[:-1] - edges[0] + 1, np.diff(edges) - 2  # without the ends
             long = batch.column("long")[k].as_py()
             if long:
@@ -242,38 +238,38 @@ def _documents(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.Reco
                 many = np.array([len(x) for x in long], np.int64)
                 new_at, new_size = np.where(many > 0, len(new) + np.cumsum(many) - many, new_at), np.where(many > 0, many, new_size)
                 new = np.concatenate([new, extra])
-            if batch.column("first")[k].as_py() == 0:
+            first = batch.column("first")[k].as_py()
+            if first == 0:
                 ids, at, size = new, new_at, new_size
-            else:
+            elif first == len(at):
                 ids, at, size = np.concatenate([ids, new]), np.concatenate([at, new_at + len(ids)]), np.concatenate([size, new_size])
+            else:
+                raise RuntimeError("chunks of another task, or out of order: the steps must stay narrow")
             codes = np.frombuffer(batch.column("codes")[k].as_py(), np.int32)
             counts = np.frombuffer(batch.column("counts")[k].as_py(), np.int32)
-            stop = 0
-            done = 0
+            stop, done = 0, 0
             for docs in pa.ipc.open_stream(batch.column("docs")[k].as_py()):
                 n = counts[done : done + docs.num_rows].astype(np.int64)
                 mine = codes[stop : stop + int(n.sum())]
                 done, stop = done + docs.num_rows, stop + int(n.sum())
                 lengths = size[mine]
                 out = ids[_gather(at[mine], lengths)]
-                edges = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(n)])]
-                bytes_of = piece_size[out]
-                text = flat[_gather(piece_at[out], bytes_of)]
-                cuts = np.concatenate([[0], np.cumsum(bytes_of)])[edges]
-                decoded = pa.Array.from_buffers(pa.binary(), docs.num_rows, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(text)])
-                yield pa.RecordBatch.from_arrays([*docs.columns, _ragged(pa.array(out, pa.int32()), edges), decoded], [*docs.schema.names, "ids", "decoded"])
+                cuts = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(n)])]
+                decoded = [b"".join(map(pieces.__getitem__, out[a:b].tolist())) for a, b in itertools.pairwise(cuts.tolist())]
+                yield pa.RecordBatch.from_arrays([*docs.columns, _ragged(pa.array(out, pa.int32()), cuts), pa.array(decoded, pa.binary())], [*docs.schema.names, "ids", "decoded"])
 
 
 def encode_decode(documents: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Columns `keep`, ids (array of int) of the text, and decoded (binary) made from these ids."""
+    if clash := {"ids", "decoded"} & set(keep):
+        raise ValueError(f"columns to keep have names of results: {sorted(clash)}")
     path = path or tokenizer_file(VOCABULARY)
-    base, entries = merge_table(path)
     source = documents.select(*keep, F.col(text_col).alias("__text"))
-    chunks = arrow_map(source, lambda it: _chunks(it, path, chunk_bytes), "docs binary, counts binary, codes binary, first int, words array<array<int>>, pairs array<array<bigint>>, long array<array<int>>")
-    b, e = _literal(base, "int"), _literal(entries, "bigint")
-    folded = chunks.select("docs", "counts", "codes", "first", F.zip_with("words", "pairs", lambda w, k: fold_merges(w, k, b, e)).alias("ids"), "long")
+    chunks = arrow_map(source, lambda it: _chunks(it, path, chunk_bytes), "docs binary, counts binary, codes binary, first int, words array<array<bigint>>, long array<array<int>>")
+    low = lambda e: F.transform(e, lambda x: x.bitwiseAND(F.lit(LOW)).cast("int"))
+    folded = _let(_literal(merge_table(path)), lambda t: F.transform("words", lambda w: low(fold_merges(w, t))))
     schema = documents.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.BinaryType())
-    return arrow_map(folded, lambda it: _documents(it, path), schema)
+    return arrow_map(chunks.select("docs", "counts", "codes", "first", folded.alias("words"), "long"), lambda it: _documents(it, path), schema)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
