@@ -11,17 +11,18 @@ Texts are scored in chunks of up to CHUNK_BYTES: a chunk asks for its distinct n
 requests are joined with the model by key, and the answers meet their chunk again, where numpy backs off
 place by place. So a frequent n-gram costs a row for each chunk, not one for each occurrence.
 
-A document's perplexity (per byte) is held against a quantile of its language's trusted documents,
-times a margin; documents above are not kept.
+A document's perplexity (per byte) is held against a quantile of its language's trusted documents that the
+counts have not seen: one trusted id in HELD, by a hash, is left out of them. Documents above are not kept.
 
 Defined results: null and empty texts have no perplexity (null) and aren't kept; languages without
-trusted rows (and null ones) use the quantile of all trusted rows; with no trusted row all other documents are
-kept, with null perplexity; rows of one id share one figure, over all their texts; texts without an id have null
-perplexity and are kept; other columns are ignored.
+held-out trusted rows (and null ones) use the quantile of all held-out trusted rows; with no such row at all, thresholds are null and all
+documents with a text are kept; with no trusted row to count, perplexities are null too; rows of one id share one figure, over all their texts; texts without an id have null
+perplexity and are kept; repeated rows repeat; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -34,8 +35,10 @@ from .common import arrow_map, checkpointed, ensure_checkpoint_dir, flat, ship,
 
 ORDER = 5
 CHUNK_BYTES = 8 << 20
-#: Documents with a perplexity above MARGIN times their language's QUANTILE of trusted ones are not kept; the margin is for short texts, which vary more.
-QUANTILE, MARGIN = 0.99, 1.5
+#: Bytes of text that one numpy step handles, also of a long document.
+STEP = 1 << 20
+#: Documents with a perplexity above their language's QUANTILE of trusted ones are not kept; one trusted id in HELD sets the quantile and isn't counted.
+QUANTILE, HELD = 0.99, 5
 #: Bytes: A-Z in lower case, NUL (which marks what is before a text) as 1.
 LOW = np.array([1, *(b + 32 if 65 <= b <= 90 else b for b in range(1, 256))], np.uint8)
 
@@ -52,6 +55,16 @@ def packed(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndar
     return out | (order << 56)
 
 
+def places(data: np.ndarray, offsets: np.ndarray, order: int = ORDER, step: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, order-gram) of each byte, in steps; a text may be cut, its order-grams aren't."""
+    for a in range(0, len(data), step):
+        b, before = min(len(data), a + step), max(0, a - order + 1)
+        first, last = np.searchsorted(offsets, before, "right") - 1, np.searchsorted(offsets, b, "left")
+        edges = np.clip(offsets[first : last + 1], before, b) - before
+        text = first + np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        yield text[a - before :], packed(data[before:b], edges, order)[a - before :]
+
+
 def suffix(key, n: int):
     """Key of the n - 1 last bytes; columns and arrays alike."""
     if isinstance(key, Column):
@@ -71,16 +84,15 @@ def counts(documents: DataFrame, text_col: str, order: int = ORDER) -> DataFrame
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
-            key, a = np.unique(packed(*flat(batch.column("text")), order), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(a.astype(np.int64))], ["key", "a"])
+            for _, grams in places(*flat(batch.column("text")), order):
+                key, a = np.unique(grams, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(a.astype(np.int64))], ["key", "a"])
 
     found = arrow_map(documents.select(F.col(text_col).alias("text")).where("text <> ''"), run, "key long, a long")
     return found.groupBy("key").agg(F.sum("a").alias("a"))
 
 
-def _discounts(counted: DataFrame) -> tuple[float, float, float]:
-    row = counted.agg(*(F.count(F.when(F.col("a") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4))).first()
-    n1, n2, n3, n4 = row.n1, row.n2, row.n3, row.n4
+def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     if not n1 or not n2 or not n3:  # too little text for the estimate
         return 0.5, 0.75, 0.9
     y = n1 / (n1 + 2 * n2)
@@ -89,14 +101,15 @@ def _discounts(counted: DataFrame) -> tuple[float, float, float]:
 
 def fit(trusted: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFrame:
     """The model (key, p, gamma): p of n-grams, gamma (the mass that backs off) of contexts; either can be null."""
-    counted = checkpointed(counts(trusted, text_col, order))
-    levels = {order: counted}
+    levels = {order: checkpointed(counts(trusted, text_col, order))}
     for n in range(order, 1, -1):
         # the counts of lower orders are those of distinct left extensions
-        levels[n - 1] = levels[n].select(suffix(F.col("key"), n).alias("key")).groupBy("key").agg(F.count("*").alias("a"))
+        levels[n - 1] = checkpointed(levels[n].select(suffix(F.col("key"), n).alias("key")).groupBy("key").agg(F.count("*").alias("a")))
+    every = functools.reduce(DataFrame.union, levels.values())
+    of = {r.n: r[1:] for r in every.groupBy(F.shiftright("key", 56).alias("n")).agg(*(F.count_if(F.col("a") == i) for i in (1, 2, 3, 4))).collect()}  # a row for each order
     model, below = None, None
     for n in range(1, order + 1):
-        d1, d2, d3 = _discounts(levels[n])
+        d1, d2, d3 = _discounts(*of.get(n, (0, 0, 0, 0)))
         off = F.when(F.col("a") == 1, d1).when(F.col("a") == 2, d2).otherwise(d3)
         level = levels[n].withColumn("context", prefix(F.col("key"), n)).withColumn("off", off)
         contexts = level.groupBy("context").agg(F.sum("a").alias("total"), F.sum("off").alias("mass")).select("context", "total", (F.col("mass") / F.col("total")).alias("gamma"))
@@ -141,7 +154,9 @@ def log_probabilities(keys: np.ndarray, known: np.ndarray, p: np.ndarray, gamma:
 
 def _wanted(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
     """The distinct keys that a chunk can need: its n-grams of all orders and their contexts."""
-    level = np.unique(packed(data, offsets, order))
+    level = np.zeros(0, np.int64)
+    for _, grams in places(data, offsets, order):
+        level = np.union1d(level, grams)
     out = [level]
     for n in range(order, 0, -1):
         out.append(np.unique(prefix(level, n)))
@@ -186,16 +201,13 @@ def _scored(left: pa.Table, right: pa.Table, order: int) -> pa.Table:
     for pack in left.column("pack").to_pylist():
         docs = _unpack(pack)
         data, offsets = flat(docs.column("text"))
-        step = max(1, len(docs) // max(1, len(data) >> 20))  # about 1 MB of text at a time
-        for a in range(0, len(docs), step):
-            b = min(len(docs), a + step)
-            part = data[offsets[a] : offsets[b]]
-            edges = offsets[a : b + 1] - offsets[a]
+        total = np.zeros(len(docs))
+        for text, grams in places(data, offsets, order):
             # one look-up for each distinct n-gram
-            keys, at = np.unique(packed(part, edges, order), return_inverse=True)
-            total = np.concatenate([[0.0], np.cumsum(log_probabilities(keys, known, p, gamma, order)[at])])
-            log_p.append(total[edges[1:]] - total[edges[:-1]])
-            n_bytes.append(np.diff(edges))
+            keys, at = np.unique(grams, return_inverse=True)
+            total += np.bincount(text, log_probabilities(keys, known, p, gamma, order)[at], len(docs))
+        log_p.append(total)
+        n_bytes.append(np.diff(offsets))
         ids.append(docs.column("id"))
     return pa.table({"id": pa.chunked_array(ids), "n_bytes": np.concatenate(n_bytes).astype(np.int64), "log_p": np.concatenate(log_p)})
 
@@ -234,7 +246,8 @@ def quality(documents: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id"
     """id_col, lang, n_bytes, perplexity, threshold and kept of every row. trusted_ids: (id_col)."""
     ids = trusted_ids.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    model = fit(rows.join(ids, "id", "left_semi"), "text", order)
+    held = F.pmod(F.xxhash64("id"), F.lit(HELD)) == 0
+    model = fit(rows.join(ids.where(~held), "id", "left_semi"), "text", order)
     if model.isEmpty():
         scored = rows.select("id", F.lit(None).cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("log_p")).limit(0)
     else:
@@ -244,10 +257,10 @@ def quality(documents: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id"
     out = rows.select("id", "lang", (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("some")).join(by_id, "id", "left")
     out = out.withColumn("perplexity", F.when(F.col("some"), F.exp(-F.col("log_p") / F.col("n_bytes")))).join(ids.withColumn("trusted", F.lit(True)), "id", "left")
     out = checkpointed(out.select("id", "lang", "some", F.when(F.col("some"), F.col("n_bytes")).alias("n_bytes"), "perplexity", F.coalesce("trusted", F.lit(False)).alias("trusted")))
-    good = out.where("trusted and perplexity is not null")
-    of_lang = good.where("lang is not null").groupBy("lang").agg((F.percentile_approx("perplexity", QUANTILE, 10_000) * MARGIN).alias("own"))
-    of_all = good.agg((F.percentile_approx("perplexity", QUANTILE, 10_000) * MARGIN).alias("any"))
-    # one row for each language, and one row
+    good = out.where("trusted and perplexity is not null").where(held)
+    of_lang = good.where("lang is not null").groupBy("lang").agg(F.percentile_approx("perplexity", QUANTILE, 10_000).alias("own"))
+    of_all = good.agg(F.percentile_approx("perplexity", QUANTILE, 10_000).alias("any"))
+    # a row for each language (Spark checks its size), and one row
     out = out.join(of_lang, "lang", "left").join(F.broadcast(of_all), how="left").withColumn("threshold", F.coalesce("own", "any"))
     kept = F.col("some") & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return out.select(F.col("id").alias(id_col), "lang", F.coalesce("n_bytes", F.lit(0)).cast("long").alias("n_bytes"), "perplexity", "threshold", kept.alias("kept"))

@@ -125,6 +125,28 @@ def test_quality_of_odd_rows(spark):
     assert {r.doc_id: r.kept for r in nobody}[30] and all(r.perplexity is None for r in nobody)
 
 
+def test_steps_of_a_long_text():
+    data = np.random.default_rng(1).integers(0, 255, 5000).astype(np.uint8)
+    offsets = np.array([0, 0, 3, 1200, 1200, 4990, 5000])
+    text, grams = (np.concatenate(x) for x in zip(*kneser_ney.places(data, offsets, 5, 700), strict=True))
+    assert (grams == kneser_ney.packed(data, offsets, 5)).all()
+    assert (text == np.repeat(np.arange(6), np.diff(offsets))).all()
+
+
+def test_quality_thresholds_are_quantiles_of_rows_held_out(spark):
+    pick = random.Random(9)
+    rows = [(i, " ".join(pick.choice((EN if i % 2 else DE).split()) for _ in range(30 + i % 7)), "en" if i % 2 else "de") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = spark.range(90).withColumnRenamed("id", "doc_id")
+    held = {r.doc_id for r in trusted.where(F.pmod(F.xxhash64("doc_id"), F.lit(kneser_ney.HELD)) == 0).collect()}
+    log_p = brute([t for i, t, _ in rows if i < 90 and i not in held], 2)
+    of = {i: math.exp(-log_p(t) / len(t.encode())) for i, t, _ in rows}
+    for r in kneser_ney.quality(df, trusted, order=2).collect():
+        mine = sorted(of[i] for i, _, lang in rows if i in held and lang == r.lang)
+        assert abs(r.perplexity - of[r.doc_id]) < 1e-9 * of[r.doc_id]
+        assert abs(r.threshold - mine[math.ceil(0.99 * len(mine)) - 1]) < 1e-9 * r.threshold and r.kept == (r.perplexity <= r.threshold)
+
+
 def test_toxic_words_of_mislabelled_rows_and_phrases():
     pick = random.Random(8)
     plain = lambda: [f"{pick.choice('bdgklm')}{pick.choice('aeiou')}{pick.choice('nrst')}{pick.choice('aeiou')}" for _ in range(40)]
