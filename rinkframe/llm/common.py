@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -13,8 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step handles; it bounds the Python workers' memory, not the results.
 STEP_BYTES = 4 << 20
-#: Odd multipliers of the polynomial hashes, mod 2**64.
-BYTE_P = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Odd multiplier of the hash of a few words, mod 2**64.
 WORD_P = np.uint64(0xD6E8FEB86659FD93)
 U64 = np.uint64
 
@@ -67,21 +67,6 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(p: int, n: int) -> np.ndarray:
-    have = _powers.get(p)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), p, U64)
-        have[0] = 1
-        _powers[p] = have = np.cumprod(have, dtype=U64)
-    return have
-
-
-BYTE_P_INVERSE = pow(int(BYTE_P), -1, 1 << 64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x + U64(0x9E3779B97F4A7C15)
@@ -90,6 +75,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+#: Words of more bytes are hashed by blake2.
+LONG_WORD = 256
+#: What keeps the bytes of a lane's first n places.
+FRONT = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+
+
+def word_hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of each word's bytes: its length and its lanes of 8 bytes, each mixed into what came before."""
+    lanes = np.ndarray((len(low),), "<u8", np.concatenate([low, np.zeros(8, np.uint8)]), strides=(1,))
+    out = mix((end - start).astype(U64))
+    todo = np.flatnonzero(end - start <= LONG_WORD)
+    at = 0
+    while len(todo):
+        left = np.minimum(end[todo] - start[todo] - at, 8)
+        out[todo] = mix(out[todo] ^ (lanes[start[todo] + at] & FRONT[left]))
+        at += 8
+        todo = todo[end[todo] - start[todo] > at]
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(low[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 class Words:
     """The words of a batch of texts, as arrays.
 
@@ -113,21 +120,44 @@ class Words:
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(len(column)), np.diff(self.first))
-        total = np.zeros(len(low) + 1, U64)
-        np.cumsum(low.astype(U64) * powers(int(BYTE_P), len(low))[: len(low)], out=total[1:], dtype=U64)
-        self.hash = mix((total[self.end] - total[self.start]) * powers(BYTE_P_INVERSE, len(low) + 1)[self.start])
+        self.hash = word_hashes(low, self.start, self.end)
 
     def word(self, i: int) -> bytes:
         return self.low[self.start[i] : self.end[i]].tobytes()
 
+    def ids(self) -> np.ndarray:
+        """Numbers that are equal for equal words alone: hashes propose, bytes decide."""
+        _, first, at = np.unique(self.hash, return_index=True, return_inverse=True)
+        size, model = self.end - self.start, first[at]
+        same = size == size[model]
+        many = np.where(same, size, 0)
+        step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        differ = self.low[np.repeat(self.start, many) + step] != self.low[np.repeat(self.start[model], many) + step]
+        same[np.repeat(np.arange(len(size)), many)[differ]] = False
+        known: dict[bytes, int] = {}
+        for i in np.flatnonzero(~same).tolist():  # words that share a hash
+            at[i] = known.setdefault(self.word(i), len(first) + len(known))
+        return at
+
+    def gram_ids(self, k: int) -> np.ndarray:
+        """The same for the k words from each word on, where all are in its text."""
+        ids = self.ids()
+        code, n = ids, int(ids.max(initial=0)) + 1
+        top = n
+        for j in range(1, min(k, len(ids))):
+            if top * n >= 1 << 62:
+                code = np.unique(code, return_inverse=True)[1]
+                top = int(code.max(initial=0)) + 1
+            code, top = code[: len(ids) - j] * n + ids[j:], top * n
+        return code
+
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the k words from each word on, and whether all k are in its text."""
         n = len(self.hash)
         out, ok = np.zeros(n, U64), np.zeros(n, bool)
         if n >= k:
-            q = powers(int(WORD_P), k)
             for j in range(k):
-                out[: n - k + 1] += self.hash[j : n - k + 1 + j] * q[j]
+                out[: n - k + 1] = out[: n - k + 1] * WORD_P + self.hash[j : n - k + 1 + j]
             ok[: n - k + 1] = self.doc[: n - k + 1] == self.doc[k - 1 :]
         return mix(out), ok
 

@@ -2,8 +2,9 @@
 
 Both sides keep the minimum k-gram hash of every sliding window of w word k-grams. A span of
 w + k - 1 shared words therefore always leaves one fingerprint in common, wherever it lies. The
-fingerprints are joined, and each hit is extended along its diagonal over the words themselves,
-so that the result is exact: hashes only propose.
+fingerprints are joined, and each hit is extended to the windows around it that the items have too, over the words themselves,
+so that the result is exact: hashes only propose. Equal windows of the items are one entry with its items, so
+repeated words make no more pairs than a document has windows.
 
 The test side is the small one. Its fingerprints are broadcast in blocks of at most BLOCK_BYTES of
 item text (items are dealt to blocks by a hash, after their bytes have been summed); each block is
@@ -12,7 +13,8 @@ side is shuffled or collected, no key is hot, and a lost task is simply run agai
 
 Defined results: null or wordless texts have no words and are clean; null or wordless items match
 nothing; a null item_id is written as the empty string; repeated rows each give a row, with the
-same values; empty tables give no rows or clean ones. Extra columns of either table are ignored.
+same values; empty tables give no rows or clean ones. Extra columns of either table are ignored; columns to keep
+mustn't have names of results (an error).
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ LOOKUP = lookup_of(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80
 #: Words of a window that has to be found, and words in a k-gram.
 SPAN, K = 10, 5
 #: Bytes of item text in one broadcast block (a proven bound; more text means more blocks).
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 FILTER_BITS = 22
 
 
@@ -57,57 +59,76 @@ def winnow(words: Words, k: int, span: int) -> tuple[np.ndarray, np.ndarray]:
     return at, grams[at]
 
 
+class Windows:
+    """The windows of n words of a block of items: distinct ones, with their items."""
+
+    def __init__(self, w: Words, ids: np.ndarray, at: np.ndarray, n: int):
+        self.n = n
+        _, first, group = np.unique(ids[at[:, None] + np.arange(n)], axis=0, return_index=True, return_inverse=True)
+        grams = w.grams(n)[0][at]
+        order = np.argsort(grams[first], kind="stable")
+        self.grams, self.place = grams[first][order], at[first][order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        pairs = np.unique(np.stack([rank[group.ravel()], w.doc[at]], 1), axis=0)
+        self.edge, self.items = np.searchsorted(pairs[:, 0], np.arange(len(order) + 1)), pairs[:, 1]
+
+
 class Fingerprints:
-    """One block of test items: fingerprints with their places, and the words to extend hits over."""
+    """One block of test items: fingerprints, and the windows to extend hits to."""
 
     def __init__(self, ids: list[str], texts: list[str | None], span: int = SPAN, k: int = K):
         self.ids, self.span, self.k = ids, span, k
         w = Words(pa.array(texts, pa.string()), LOOKUP)
-        self.first, self.hash = w.first, w.hash
-        self.words = [w.word(i) for i in range(len(w.start))]
+        self.word_ids = w.ids()
+        self.number = {w.word(i): x for i, x in zip(range(len(w.start)), self.word_ids.tolist(), strict=True)}
         n = np.diff(w.first)
         self.tables = []
         for size in sorted({int(x) for x in n if 0 < x < span} | {0}):
             if size:  # an item of fewer words is one window: all grams of that many words are compared
                 at = w.first[:-1][n == size]
-                grams = w.grams(size)[0][at]
+                grams, windows = w.grams(size)[0][at], Windows(w, self.word_ids, at, size)
             else:
-                at, grams = winnow(w, k, span)
-            order = np.argsort(grams, kind="stable")
+                grams = winnow(w, k, span)[1]
+                windows = Windows(w, self.word_ids, np.flatnonzero(w.grams(span)[1]), span)
             bits = np.zeros(1 << FILTER_BITS, bool)
             bits[(grams & U64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
-            self.tables.append((size, grams[order], at[order], bits))
-        self.item = np.repeat(np.arange(len(ids)), n)
+            self.tables.append((size, np.unique(grams), windows, bits))
 
-    def hits(self, w: Words) -> Iterator[tuple[int, int, int]]:
-        """(item, first word, end) in w of each maximal run of words that an item shares over a window or more."""
-        for size, grams, places, bits in self.tables:
+    def hits(self, w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(words, first words in w, rank, items) of windows that the items have: items[i] are those of first words[rank[i]]."""
+        for size, grams, windows, bits in self.tables:
             if not len(grams):
                 continue
             if size:
                 found, ok = w.grams(size)
-                at = np.flatnonzero(ok & bits[(found & U64((1 << FILTER_BITS) - 1)).astype(np.int64)])
+                at = np.flatnonzero(ok)
                 found = found[at]
             else:
                 at, found = winnow(w, self.k, self.span)
-                near = bits[(found & U64((1 << FILTER_BITS) - 1)).astype(np.int64)]
-                at, found = at[near], found[near]
-            lo, hi = np.searchsorted(grams, found, "left"), np.searchsorted(grams, found, "right")
-            many = hi - lo
-            if not many.sum():
+            near = bits[(found & U64((1 << FILTER_BITS) - 1)).astype(np.int64)]
+            at, found = at[near], found[near]
+            # the join of fingerprints
+            at = at[grams[np.minimum(np.searchsorted(grams, found), len(grams) - 1)] == found]
+            if not len(at):
                 continue
-            # the join: every fingerprint of the text with every equal one of the items
-            mine = np.repeat(at, many)
-            theirs = places[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())]
-            pairs = np.unique(np.stack([w.doc[mine], self.item[theirs], mine - theirs], 1), axis=0)
-            for doc, item, shift in pairs.tolist():
-                a, b = int(self.first[item]), int(self.first[item + 1])
-                a, b = max(a, int(w.first[doc]) - shift), min(b, int(w.first[doc + 1]) - shift)
-                same = np.concatenate([[False], self.hash[a:b] == w.hash[a + shift : b + shift], [False]])
-                edge = np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2)
-                for x, y in edge.tolist():
-                    if y - x >= (size or self.span) and all(self.words[a + i] == w.word(a + i + shift) for i in range(x, y)):
-                        yield item, a + x + shift, a + y + shift
+            # each hit reaches the windows that hold it
+            n = windows.n
+            starts = np.unique((at[:, None] - np.arange(1 if size else n - self.k + 1)).ravel())
+            starts = starts[starts >= 0]
+            whole, ok = w.grams(n)
+            starts = starts[ok[starts]]
+            lo, hi = (np.searchsorted(windows.grams, whole[starts], side) for side in ("left", "right"))
+            many = hi - lo
+            mine = np.repeat(starts, many)
+            theirs = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+            words = np.unique(mine[:, None] + np.arange(n))
+            known = np.array([self.number.get(w.word(i), -1) for i in words.tolist()], np.int64)
+            own = known[np.searchsorted(words, mine[:, None] + np.arange(n))]
+            same = (own == self.word_ids[windows.place[theirs][:, None] + np.arange(n)]).all(1)
+            mine, theirs = mine[same], theirs[same]
+            items = windows.edge[theirs + 1] - windows.edge[theirs]
+            yield n, mine, np.repeat(np.arange(len(mine)), items), windows.items[np.repeat(windows.edge[theirs] - np.cumsum(items) + items, items) + np.arange(items.sum())]
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Fingerprints]:
@@ -122,6 +143,8 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Fingerprints]:
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: id, columns `keep`, text, n_words, n_hit (words in the union of runs), runs (first word, end), items (ids with a window in it, sorted)."""
+    if clash := {"n_words", "n_hit", "runs", "items"} & {id_col, text_col, *keep}:
+        raise ValueError(f"columns to keep have names of results: {sorted(clash)}")
     spark: SparkSession = documents.sparkSession
     extra = [c for c in keep if c not in (id_col, text_col)]
     df = documents.select(
@@ -134,10 +157,15 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
             for batch in steps(batches, text_col):
                 w = Words(batch.column(text_col), LOOKUP)
                 runs, items = batch.column("__runs").to_pylist(), batch.column("__items").to_pylist()
-                for item, a, b in shared.value.hits(w):
-                    doc = int(w.doc[a])
-                    runs[doc] += [a - int(w.first[doc]), b - int(w.first[doc])]
-                    items[doc].append(shared.value.ids[item])
+                for n, starts, rank, found in shared.value.hits(w):
+                    for at, doc in zip(starts.tolist(), w.doc[starts].tolist(), strict=True):
+                        a = at - int(w.first[doc])
+                        if runs[doc] and runs[doc][-2] <= a <= runs[doc][-1]:
+                            runs[doc][-1] = max(runs[doc][-1], a + n)
+                        else:
+                            runs[doc] += [a, a + n]
+                    for doc, item in np.unique(np.stack([w.doc[starts][rank], found], 1), axis=0).tolist():
+                        items[doc].append(shared.value.ids[item])
                 now = {"__words": pa.array(np.diff(w.first)), "__hit": pa.array([covered(x) for x in runs], pa.int64()), "__runs": pa.array(runs, pa.list_(pa.int64())), "__items": pa.array(items, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays([now.get(c, batch.column(i)) for i, c in enumerate(batch.schema.names)], batch.schema.names)
 

@@ -10,7 +10,7 @@ partners: at a similarity of 0.85 a pair shares no band of 25 with probability 4
 all members are compared with its leader; once the components of those links are known, buckets
 whose members still lie in several components are compared across components. Links inside
 a component can't change it, so no pair is emitted for them; links between different components
-are all tried. Every proposal is confirmed on the full shingle sets.
+are all tried. Every proposal is confirmed on the full shingle sets, by the words themselves.
 
 In a bucket of more than SMALL members, trying all pairs across components would grow with its
 square. There, members are compared by what differs from their leader: two sets are as far apart
@@ -47,6 +47,10 @@ SHINGLE = 5
 BANDS, ROWS = 25, 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
+#: Sets of up to so many shingles are told apart by their words.
+FEW = 16
+#: Parts of a hot leader's members.
+SALTS = 32
 #: In buckets of up to so many members, pairs across components are tried as they are.
 SMALL = 48
 
@@ -67,6 +71,43 @@ def shingle_sets(column: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
+def digests(column: pa.Array, sets: list[np.ndarray], k: int = SHINGLE) -> list[bytes | None]:
+    """A digest of each text's set, None if it is empty: of few shingles over their words, of more over their hashes."""
+    w, out = None, []
+    for i, s in enumerate(sets):
+        if not len(s):
+            out.append(None)
+            continue
+        data = s.tobytes()
+        if len(s) <= FEW:
+            w = w or Words(column, LOOKUP)
+            words = [w.word(j) for j in range(w.first[i], w.first[i + 1])]
+            data = b"\0\0".join(sorted({b"\0".join(words[j : j + k]) for j in range(max(1, len(words) - k + 1))}))
+        out.append(hashlib.blake2b(data, digest_size=16).digest())
+    return out
+
+
+def pair_sets(left: pa.Array, right: pa.Array, k: int = SHINGLE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each pair of texts the shingles as numbers that are equal for equal words alone (sorted, distinct), and their hashes: x, y, hashes of x, hashes of y."""
+    w = Words(pa.concat_arrays([left, right]), LOOKUP)
+    codes, hashes = w.gram_ids(k), w.grams(k)[0]
+    short: dict[bytes, int] = {}
+
+    def one(i: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = int(w.first[i]), int(w.first[i + 1])
+        if b - a >= k:
+            found, at = np.unique(codes[a : b - k + 1], return_index=True)
+            return found, hashes[a : b - k + 1][at]
+        if b == a:
+            return np.zeros(0, np.int64), np.zeros(0, U64)
+        words = b"\0".join(w.word(j) for j in range(a, b))
+        return np.array([-1 - short.setdefault(words, len(short))]), np.array([int.from_bytes(hashlib.blake2b(words, digest_size=8).digest(), "little")], U64)
+
+    for i in range(len(left)):
+        (x, hx), (y, hy) = one(i), one(len(left) + i)
+        yield x, y, hx, hy
+
+
 def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
     """Registers (documents x m); rows of empty sets are all infinite."""
     n = np.array([len(x) for x in sets], np.int64)
@@ -117,7 +158,7 @@ def signatures(documents: DataFrame, id_col: str, text_col: str, shingle: int, b
                 [
                     batch.column("id"),
                     pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary()),
+                    pa.array(digests(batch.column("text"), sets, shingle), pa.binary()),
                     pa.array([k if len(x) else None for k, x in zip(keys, sets, strict=True)], pa.list_(pa.int64())),
                 ],
                 ["id", "n", "cls", "keys"],
@@ -132,7 +173,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "ta"):
             keep = []
-            for x, y in zip(shingle_sets(batch.column("ta"), shingle), shingle_sets(batch.column("tb"), shingle), strict=True):
+            for x, y, _, _ in pair_sets(batch.column("ta"), batch.column("tb"), shingle):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both) > 0)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
@@ -190,8 +231,9 @@ def _against_leader(rest: DataFrame, texts: DataFrame, shingle: int, percent: in
         for batch in steps(batches, "ta"):
             slack, linked, diff = [], [], []
             leaders = batch.column("leader").to_numpy().astype(U64)
-            for leader, x, y in zip(leaders, shingle_sets(batch.column("ta"), shingle), shingle_sets(batch.column("tb"), shingle), strict=True):
-                own = np.concatenate([np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)])
+            for leader, (x, y, hx, hy) in zip(leaders, pair_sets(batch.column("ta"), batch.column("tb"), shingle), strict=True):
+                # the hashes of shingles that only one has: they propose, words decide
+                own = np.concatenate([np.sort(hy[~np.isin(y, x, assume_unique=True)]), np.sort(hx[~np.isin(x, y, assume_unique=True)])])
                 slack.append((100 + percent) * len(own) - (100 - percent) * len(y))
                 linked.append(slack[-1] <= (100 - percent) * len(x))
                 diff.append(mix(own ^ mix(np.array([leader], U64))).view(np.int64))
@@ -201,7 +243,13 @@ def _against_leader(rest: DataFrame, texts: DataFrame, shingle: int, percent: in
     members = rest.select("id", "n", "root").distinct()
     rows = members.join(groups, members["id"] == groups["node"], "left").select(F.coalesce("leader", "id").alias("leader"), "id", "n", "root")
     ta, tb = texts.select(F.col("id").alias("leader"), F.col("text").alias("ta")), texts.select("id", F.col("text").alias("tb"))
-    return arrow_map(rows.join(ta, "leader").join(tb, "id").select("leader", "id", "n", "root", "ta", "tb"), run, "leader long, id long, n long, root long, slack long, linked boolean, diff array<long>")
+    return arrow_map(_spread(rows, ta).join(tb, "id").select("leader", "id", "n", "root", "ta", "tb"), run, "leader long, id long, n long, root long, slack long, linked boolean, diff array<long>")
+
+
+def _spread(rows: DataFrame, of_leader: DataFrame) -> DataFrame:
+    """rows (leader, id, ...) with what of_leader has for their leader. A leader of large buckets can be hot: its rows go to SALTS places, its own row to each."""
+    salted = of_leader.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["leader", "__salt"]).drop("__salt")
 
 
 def _enough(left, slacks, percent: int):
@@ -217,11 +265,11 @@ def _by_difference(large: DataFrame, percent: int) -> DataFrame:
     """
     main = F.max_by("root", F.col("id") == F.col("leader"))
     of_leader = large.groupBy("leader").agg(main.alias("main"))
-    rows = large.where("id <> leader").join(of_leader, "leader").withColumn("root", F.when(F.col("linked"), F.col("main")).otherwise(F.col("root")))
+    rows = _spread(large.where("id <> leader"), of_leader).withColumn("root", F.when(F.col("linked"), F.col("main")).otherwise(F.col("root")))
     least = rows.groupBy("leader").agg(F.min("slack").alias("any"), F.min(F.when(F.col("root") != F.col("main"), F.col("slack"))).alias("outer"))
     other = F.when(F.col("root") == F.col("main"), F.col("outer")).otherwise(F.col("any"))
     must = F.ceil((F.col("slack") + other) / (2 * (100 + percent)))
-    able = rows.join(least, "leader").withColumn("size", F.size("diff")).withColumn("first", F.col("size") - F.greatest(must, F.lit(1)) + 1).where("first > 0")
+    able = _spread(rows, least).withColumn("size", F.size("diff")).withColumn("first", F.col("size") - F.greatest(must, F.lit(1)) + 1).where("first > 0")
     placed = able.select("id", "n", "root", "slack", "size", F.posexplode(F.slice("diff", F.lit(1), F.col("first").cast("int"))).alias("at", "key"))
     return placed.select("key", "id", "n", "root", "slack", (F.col("size") - F.col("at")).cast("long").alias("left"))
 

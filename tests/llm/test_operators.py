@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,48 @@ def test_warc_revisits(spark):
     got = {r.page_id: r for r in warc.read(warc.records(pages)).collect()}
     assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {1: ("revisit", 3), 3: ("response", None), 2: ("response", None), 4: ("revisit", 5), 5: ("response", None)}
     assert got[1].payload_bytes == 4 and got[2].payload_digest == warc.digest(b"other")
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    texts = [(1, thue_morse(1024)), (2, thue_morse(1024, "b", "a")), (3, thue_morse(1024)), (None, "x y")]
+    df = spark.createDataFrame([(i, t, "en", 1) for i, t in texts], DOC)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
+    assert {k: got[k] for k in (1, 2, 3)} == {1: 1, 2: 2, 3: 1}
+    ten = " ".join(f"w{i}" for i in range(10))
+    bench = spark.createDataFrame([(9, f"{ten} {texts[0][1]}", 0)], "item_id long, text string, runs int")
+    docs = spark.createDataFrame([(1, f"{ten} {texts[1][1]}", "x"), (1, f"{ten} {texts[1][1]}", "x"), (2, f"a {ten} {texts[0][1]}", "y")], "doc_id long, text string, items string")
+    rows = decontaminate.decontaminate(docs, bench).collect()
+    assert sorted((r.doc_id, r.n_hit, tuple(r["items"])) for r in rows) == [(1, 10, ("9",)), (1, 10, ("9",)), (2, 11, ("9",))]
+    assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
+    assert decontaminate.decontaminate(docs, bench.limit(0)).where("n_hit = 0").count() == 3
+
+
+def test_word_ids_are_exact(monkeypatch):
+    from rinkframe.llm import common
+
+    column = pa.array(["aa b aa c", "b bb b", None, "c aa b"])
+    words = [w for t in column.to_pylist() for w in (t or "").split()]
+    for spoil in (False, True):
+        w = common.Words(column, near_dedup.LOOKUP)
+        if spoil:
+            w.hash = w.hash & common.U64(1)
+        ids = w.ids().tolist()
+        assert all((x == y) == (p == q) for x, p in zip(ids, words, strict=True) for y, q in zip(ids, words, strict=True))
+        two = w.gram_ids(2).tolist()
+        assert (two[0] == two[8]) and two[0] != two[2]
+
+
+def test_decontaminate_repeated_words():
+    item = decontaminate.Fingerprints(["1"], ["k " * 2000])
+    n, starts, rank, items = next(item.hits(common_words("k " * 20000 + "x " + "k " * 9)))
+    assert n == 10 and starts.tolist() == list(range(19991)) and set(items.tolist()) == {0}
+
+
+def common_words(text):
+    from rinkframe.llm.common import Words
+
+    return Words(pa.array([text]), decontaminate.LOOKUP)
