@@ -1,24 +1,28 @@
 """Toxicity by compression distance with zstandard dictionaries.
 
-Two dictionaries are made from a bounded sample of labelled rows: one of ordinary text, and one that
-has fragments of toxic text (word n-grams chosen by contrast of frequencies, so a mislabelled row rules none out) behind the same ordinary text (nearest, where match tables keep them). Each window of a document is compressed
-with both; the bytes that the toxic fragments save are its distance. As the ordinary parts
-and their offsets are the same in both (zeros stand in for the fragments), ordinary windows save nothing or next to it, and a single
-toxic word shows. A logistic calibration of the largest saving, the mean saving and the share of
-windows that save, fitted on labelled rows, gives the score.
-
-Only training reads labels: at most SAMPLE rows of each class, in the order of a hash of doc_id.
+Two dictionaries are trained on a bounded sample of labelled rows: one on windows of ordinary text, one on toxic
+passages. A toxic passage is an n-gram of words that toxic texts have far more often than clean ones, with a letter or two around it;
+how often is counted in different neighbourhoods, so that a family of copies counts once, and a mislabelled row
+rules no n-gram out. Each window of a document is compressed with the ordinary dictionary alone and with both (the
+toxic one nearest); the bytes saved are its distance. As the ordinary part
+and its offsets are the same in both (zeros stand in for the toxic one), ordinary windows save nothing or next to it. Windows
+are short, so that zstandard keeps letters as they are and a single toxic word shows. A logistic calibration of the largest saving, the mean saving and the share of
+windows that save, fitted on labelled rows that trained no dictionary, gives the score.
+
+Only training reads labels: at most SAMPLE rows of each class, in the order of a hash of doc_id, with their whole texts.
 Scores look at whole texts and at nothing else of a row.
 
 Defined results: null and empty texts get the score of a text without savings; repeated rows
-repeat; without labelled rows of both classes every score is 0; extra columns are ignored.
+repeat; rows of labels without an id or a label teach nothing; without labelled rows of both classes every score is next to 0; empty tables give no
+rows; extra columns are kept by score(), which adds `__score`.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,11 +33,11 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, steps, table
 
-#: Labelled rows of each class to learn from, and characters of each that the sample takes.
-SAMPLE, SAMPLE_CHARS = 1500, 6000
-#: Toxic fragments are n-grams of up to GRAM words, RATIO times as frequent in toxic texts, with a log-likelihood ratio of CHANCE (p of 1e-6).
-GRAM, RATIO, CHANCE = 3, 4, 24.0
-WINDOW, ORDINARY_BYTES, TOXIC_BYTES, LEVEL, THRESHOLD = 160, 112_000, 48_000, 3, 0.7
+#: Labelled rows of each class to learn from.
+SAMPLE = 1000
+#: Toxic passages are n-grams of up to GRAM words with PAD characters on both sides: RATIO times as frequent in toxic texts, with a log-likelihood ratio of CHANCE (p of 1e-6).
+GRAM, PAD, RATIO, CHANCE = 3, 1, 4, 24.0
+WINDOW, BEFORE, ORDINARY_BYTES, TOXIC_BYTES, LEVEL, THRESHOLD = 48, 16, 16_000, 2_000, 12, 0.7
 
 
 class Model:
@@ -52,7 +56,7 @@ class Model:
     def features(self, text: str | None) -> tuple[float, float, float]:
         plain, mixed = self.compressors()
         data = (text or "").lower().encode()
-        saved = [len(plain(w)) - len(mixed(w)) for a in range(0, len(data), WINDOW) if (w := data[max(0, a - 16) : a + WINDOW])]
+        saved = [len(plain(w)) - len(mixed(w)) for a in range(0, len(data), WINDOW) if (w := data[max(0, a - BEFORE) : a + WINDOW])]
         if not saved:
             return 0.0, 0.0, 0.0
         return float(max(saved)), sum(max(0, x) for x in saved) / len(saved), sum(x >= 2 for x in saved) / len(saved)
@@ -69,11 +73,18 @@ def fragments(text: str | None, most: int = GRAM) -> set[str]:
 
 def contrast(toxic: list[str | None], clean: list[str | None]) -> list[tuple[float, str]]:
     """(log-likelihood ratio, fragment), ascending: fragments in a share of the toxic texts that is RATIO times their share of the clean ones, beyond chance."""
-    a, na, nb, out = Counter(), len(toxic), len(clean), []
+    a, na, nb, out = {}, len(toxic), len(clean), []
+    texts = [["", *re.findall(r"\w+", (t or "").lower()), ""] for t in toxic]
     for n in range(1, GRAM + 1):
-        # an n-gram is as rare as its parts, so few need counting
-        level = Counter(w for t in toxic for w in fragments(t, n) if w.count(" ") == n - 1 and (n == 1 or (w.rpartition(" ")[0] in a and w.partition(" ")[2] in a)))
-        a.update({w: k for w, k in level.items() if k >= 3})
+        near, docs = defaultdict(set), defaultdict(set)
+        for d, words in enumerate(texts):
+            for i in range(1, len(words) - n):
+                # an n-gram is as rare as its parts, so few need counting
+                if n == 1 or (" ".join(words[i : i + n - 1]) in a and " ".join(words[i + 1 : i + n]) in a):
+                    w = " ".join(words[i : i + n])
+                    near[w].add((words[i - 1], words[i + n]))
+                    docs[w].add(d)
+        a |= {w: k for w in near if (k := min(len(near[w]), len(docs[w]))) >= 3}
     b = Counter(w for t in clean for w in fragments(t) if w in a)
 
     def fits(k: int, n: int, p: float) -> float:
@@ -87,16 +98,38 @@ def contrast(toxic: list[str | None], clean: list[str | None]) -> list[tuple[flo
     return sorted(out)
 
 
+def passages(texts: list[str | None], chosen: set[str]) -> list[bytes]:
+    """The distinct occurrences of chosen fragments, with PAD characters on both sides."""
+    if not chosen:
+        return []
+    found, any_of = set(), re.compile("|".join(re.escape(w) for w in sorted(chosen, key=lambda w: (-len(w), w))))
+    for t in texts:
+        words = f" {' '.join(re.findall(r'\w+', (t or '').lower()))} "
+        found |= {words[max(0, m.start() - PAD) : m.end() + PAD].encode() for m in any_of.finditer(words)}
+    return sorted(found)
+
+
+def dictionary(samples: list[bytes], size: int) -> bytes:
+    """What zstandard's trainer makes of the samples; too few samples to train on are the dictionary themselves."""
+    total = sum(map(len, samples))
+    if not total:
+        return b""
+    try:
+        return zstandard.train_dictionary(size, samples * (1 + 50 * size // total), level=3).as_bytes()
+    except zstandard.ZstdError:
+        return b" ".join(samples)[:size]
+
+
 def fit(rows: list[tuple[str | None, int]]) -> Model:
-    """rows: (text, toxic). A third of them calibrate, the rest make the dictionaries."""
+    """rows: (text, toxic). A third of them calibrate, the rest train the dictionaries."""
     learn, check = [r for i, r in enumerate(rows) if i % 3], rows[::3]
-    bad = contrast([t for t, y in learn if y], [t for t, y in learn if not y])
-    # the most telling come last, nearest
-    toxic = " ".join(w for _, w in bad).encode()[-TOXIC_BYTES:]
+    bad = [t for t, y in learn if y]
+    chosen = {w for _, w in contrast(bad, [t for t, y in learn if not y])}
+    toxic = dictionary(passages(bad, chosen), TOXIC_BYTES)
     # clean or mislabelled rows that hold a fragment would hide it from the comparison
-    chosen = {w for _, w in bad}
-    base = "\n".join((t or "").lower() for t, y in learn if not y and chosen.isdisjoint(fragments(t)))
-    model = Model(base.encode()[-ORDINARY_BYTES:], b" " + toxic + b" ")
+    clean = [(t or "").lower().encode() for t, y in learn if not y and chosen.isdisjoint(fragments(t))]
+    ordinary = dictionary([w for t in clean for a in range(0, len(t), 160) if (w := t[a : a + 160])], ORDINARY_BYTES)
+    model = Model(ordinary, b" " + toxic + b" ")
     y = np.array([v for _, v in check], float)
     if not toxic or not y.any() or y.all():
         return model
@@ -114,13 +147,13 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
 
 def train(documents: DataFrame, labels: DataFrame, where=None, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from at most SAMPLE labelled rows of each class for which `where` holds."""
-    rows = documents.select(F.col(id_col).alias("id"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text"))
+    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marks = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and id is not null")
     if where is not None:
         marks = marks.where(where(F.col("id")))
     both = [marks.where(F.col("toxic") == v).orderBy(F.xxhash64("id"), "id").limit(SAMPLE) for v in (0, 1)]
     chosen = rows.join(F.broadcast(both[0].union(both[1])), "id")
-    got = sorted(((r.id, r.text, r.toxic) for r in chosen.collect()), key=lambda r: (hash(r[0]) * 2654435761 % 2**32, str(r)))
+    got = sorted(((r.id, r.text, r.toxic) for r in chosen.collect()), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r)))
     return fit([(t, y) for _, t, y in got])
 
 
