@@ -11,16 +11,19 @@ little power, do not share the threshold of long ones. p-values are counted in b
 logarithm for this, BINS to a power of ten: an aggregate of bounded size in which small p-values
 keep their rank, each taken as its bin's largest (at most 2.4 % more). What is not declared non-random is a secret span of kind `random`.
 
-Defined results: null or empty texts have no spans; repeated rows give repeated results; a run that
-overlaps a base span is left to it; empty tables give no rows; extra columns are ignored.
+The text is read twice: for the runs, which are few and are checkpointed with a key of their row, and for the base spans of the result.
+
+Defined results: null or empty texts have no spans; repeated rows give repeated results; rows with null or shared ids
+have the spans of their own text; a run that
+overlaps a base span is left to it; empty tables give no rows; extra columns are ignored unless named in `keep`, where names of results are an error.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpointed, table
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -93,31 +96,31 @@ def _scored(tokens: DataFrame) -> DataFrame:
 
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id_col, keep, and arrays assign, access, hex, random of spans (start, stop, text)."""
+    if clash := {"assign", "access", "hex", "random"} & {id_col, *keep}:
+        raise ValueError(f"columns to keep have names of results: {sorted(clash)}")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = documents.select(
-        id_col,
-        *keep,
-        # ids may be null or shared: rows of one key have one id and text, and so the same spans
-        F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\0"), text).cast("binary")).alias("__row"),
+    # ids may be null or shared: rows of one key have one id and text, and so the same spans
+    row = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\0"), text).cast("binary"))
+    kinds = [
         spans(text, ASSIGN, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6).alias("assign"),
         spans(text, ACCESS, lambda m: F.length(m) >= 20).alias("access"),
         spans(text, HEX, lambda m: F.length(m) >= 24).alias("hex"),
-        spans(text, TOKEN, lambda m: (F.length(m) >= MIN_LENGTH) & m.rlike("[A-Za-z]")).alias("tokens"),
-    )
-    known = F.concat("assign", "access", "hex")
-    base = base.withColumn("tokens", F.filter("tokens", lambda t: ~F.exists(known, lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"]))))
-    distinct = base.select(F.explode("tokens").alias("t")).select(F.col("t.text").alias("token")).distinct()
+    ]
+    base = documents.select(id_col, *keep, row.alias("__row"), *kinds)
+    runs = spans(text, TOKEN, lambda m: (F.length(m) >= MIN_LENGTH) & m.rlike("[A-Za-z]"))
+    found = documents.where(text.rlike(TOKEN)).select(row.alias("row"), *kinds, runs.alias("tokens"))
+    free = F.filter("tokens", lambda t: ~F.exists(F.concat("assign", "access", "hex"), lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
+    tokens = checkpointed(found.select("row", F.explode(free).alias("t")))
+    distinct = tokens.select(F.col("t.text").alias("token")).distinct()
     scored = _scored(distinct).select("token", "p", F.least(F.floor(F.log2("n")), F.lit(12)).alias("size"), F.floor(F.log10("p") * -BINS).alias("bin"))
     # Benjamini-Hochberg from counts: p is over 1e-198, so at most 13 * 198 * BINS rows whatever the input
     counts = scored.groupBy("size", "bin").agg(F.count("*").alias("c"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("size")
     ranked = counts.withColumn("m", F.sum("c").over(w)).withColumn("upto", F.sum("c").over(w.orderBy(F.desc("bin"))))
     cut = ranked.where(F.pow(F.lit(10.0), -F.col("bin") / BINS) <= F.col("upto") * FDR / F.col("m")).groupBy("size").agg(F.min("bin").alias("cut"))
     random = scored.join(F.broadcast(cut), "size", "left").where("cut is null or bin < cut").select("token")
-    rows = base.select("__row", F.explode("tokens").alias("t")).join(random, F.col("t.text") == F.col("token")).groupBy("__row").agg(F.array_sort(F.collect_set("t")).alias("random"))
-    return base.drop("tokens").join(rows, "__row", "left").drop("__row").withColumn("random", F.coalesce("random", F.expr(f"cast(array() as {SPAN})")))
+    rows = tokens.join(random, F.col("t.text") == F.col("token")).groupBy(F.col("row").alias("__row")).agg(F.array_sort(F.collect_set("t")).alias("random"))
+    return base.join(rows, "__row", "left").drop("__row").withColumn("random", F.coalesce("random", F.expr(f"cast(array() as {SPAN})")))
 
 
 def _tagged(kind: str, i: int) -> Column:

@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import math
 import random
 import re
 
@@ -178,3 +180,50 @@ def common_words(text):
     from rinkframe.llm.common import Words
 
     return Words(pa.array([text]), decontaminate.LOOKUP)
+
+
+def battery_of(token, alphabet):
+    """The smallest p of the three tests times three, by plain loops."""
+    codes, k, n = [alphabet.index(c) for c in token], len(alphabet), len(token)
+    chi = sum((codes.count(c) - n / k) ** 2 / (n / k) for c in range(k))
+    z_chi = ((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+    high = [c * 2 >= k for c in codes]
+    up, runs = sum(high), 1 + sum(a != b for a, b in itertools.pairwise(high))
+    mu = 2 * up * (n - up) / n + 1
+    z_runs = (runs - mu) / math.sqrt(max((mu - 1) * (mu - 2) / (n - 1), 1e-3))
+    mean = sum(codes) / n
+    var = sum((c - mean) ** 2 for c in codes)
+    z_lag = sum((a - mean) * (b - mean) for a, b in itertools.pairwise(codes)) / var * math.sqrt(n) if var else 30
+    p = lambda z: min(1, math.erfc(min(abs(z), 30) / math.sqrt(2)))
+    return min(1, 3 * min(p(max(z_chi, 0)), p(z_runs), p(z_lag)))
+
+
+def test_randomness_battery(spark):
+    pick = random.Random(12)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    made = {"".join(pick.choices(a, k=n)): a for a in ("0123456789abcdef", signs) for n in (24, 33, 60)}
+    made |= {"a1" * 20: "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEF01": signs, "thequickbrownfoxjumpsovermanylazydogs": "0123456789abcdefghijklmnopqrstuvwxyz", "f" * 30: "0123456789abcdef"}
+    got = {r.token: r.p for r in secrets._scored(spark.createDataFrame([(t,) for t in made], "token string")).collect()}
+    for t, alphabet in made.items():
+        want = battery_of(t, alphabet)
+        assert abs(got[t] - want) <= 0.006 * want + 1e-190, t
+
+
+def test_false_discovery_equals_the_sorted_form(spark):
+    pick = random.Random(3)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    tokens = {"".join(pick.choices(signs, k=40)) for _ in range(30)} | {"".join(pick.choices("abcdeABC", k=40)) for _ in range(12)} | {"".join(pick.choices(signs[: 12 + i], k=40)) for i in range(20)}
+    p = {r.token: r.p for r in secrets._scored(spark.createDataFrame([(t,) for t in tokens], "token string")).collect()}
+    ranked = sorted(p, key=p.get)
+    cut = max((i + 1 for i, t in enumerate(ranked) if p[t] <= (i + 1) * secrets.FDR / len(ranked)), default=0)
+    got = {s.text for r in secrets.scan(spark.createDataFrame(list(enumerate(sorted(tokens))), "doc_id int, text string")).collect() for s in r.random}
+    # bins take p as at most 2.4 % more
+    near = {t for i, t in enumerate(ranked) if 0.97 < p[t] * len(ranked) / ((i + 1) * secrets.FDR) < 1.03}
+    assert got ^ set(ranked[cut:]) <= near and 0 < cut < len(ranked)
+
+
+def test_redaction(spark):
+    span = "array<struct<start:int,stop:int,text:string>>"
+    rows = [("é key=abcdef end", [(2, 12, "")], [(6, 12, "")]), ("none", [], []), ("", [], []), ("abcdef", [(0, 3, "")], [(3, 6, "")])]
+    df = spark.createDataFrame(rows, f"text string, a {span}, b {span}")
+    assert [r[0] for r in df.select(secrets.redacted(F.col("text"), ["a", "b"])).collect()] == ["é [SECRET] end", "none", "", "[SECRET][SECRET]"]
