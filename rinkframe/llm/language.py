@@ -5,8 +5,8 @@ fixed-length window is kept (max pooling), and a softmax layer gives the window'
 document's probabilities are the means over all its windows, weighted by their bytes. Training is
 numpy (Adam) on a bounded sample of labelled rows; inference is numpy on batches of windows.
 
-Training takes at most SAMPLE rows of each language, by a hash of doc_id, and SAMPLE_CHARS
-characters of each; nothing else is bounded. Scores look at whole texts and at nothing else of a row.
+Training takes at most SAMPLE rows of each language, by a hash of doc_id, with their whole texts, and the LANGS languages with
+the most rows; its steps are as many as EPOCHS passes over TRAIN_WINDOWS of the sample's windows, drawn from all of them; nothing else is bounded. Scores look at whole texts and at nothing else of a row.
 
 Defined results: null texts and texts without a letter are `und` with score 0, and so is every
 text when no labelled row is left to learn from; repeated rows repeat; empty tables give no rows;
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, flat, steps, table
 
-#: Labelled rows of each language to learn from, and characters of each.
-SAMPLE, SAMPLE_CHARS = 500, 3000
+#: Labelled rows of each language to learn from, and languages.
+SAMPLE, LANGS = 500, 200
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 8
 EPOCHS, BATCH, TRAIN_WINDOWS = 4, 256, 24_000
 #: Windows that one matrix product handles.
@@ -134,7 +134,7 @@ def train(documents: DataFrame, where: Column | None = None, id_col: str = "doc_
     rows = documents if where is None else documents.where(where)
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     rows = rows.withColumn("draw", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
-    counts = rows.groupBy("lang").count().collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
     if not counts:
         return None
     # a share of each language that gives SAMPLE rows or a few more, all of a small one
@@ -142,7 +142,7 @@ def train(documents: DataFrame, where: Column | None = None, id_col: str = "doc_
     for r in counts:
         share = min(1.0, SAMPLE * 1.2 / r["count"])
         limit = F.when(F.col("lang") == r["lang"], F.lit(int(share * (1 << 30)))).otherwise(limit)
-    got = rows.where(F.col("draw") < limit).select("draw", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("draw", "lang", "text").limit(2 * SAMPLE * len(counts)).collect()
+    got = rows.where(F.col("draw") < limit).select("draw", "lang", "text").orderBy("draw", "lang", "text").limit(2 * SAMPLE * len(counts)).collect()
     kept: dict[str, list[str]] = {}
     for r in got:
         if len(mine := kept.setdefault(r["lang"], [])) < SAMPLE:
