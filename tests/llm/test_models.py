@@ -47,6 +47,13 @@ def test_html_blocks():
     page = "<html><head><title>no</title><script>var t='</p>';</script></head><body><p>a &amp; b<br>c <b>d</b><p>e\n  f</p><!-- x --><ul><li>g<li>h</ul>tail < 3</body>"
     assert [b.text for b in html_text.blocks(page)] == ["a & b c d", "e f", "g", "h", "tail < 3"]
     assert [b.text for b in html_text.blocks("plain")] == ["plain"]
+    for odd, want in (
+        ("<head><title>t</title><p>text", ["text"]),
+        ("<article><p>one <math><mi>x</mi></math> two <svg><title>t</title></svg>three", ["one x two three"]),
+        ("<select><option>a<article><p>b</p></article>", ["a", "b"]),
+        ("<p>a<noscript>b</noscript>c<svg>d<p>e", ["a", "cd", "e"]),
+    ):
+        assert [b.text for b in html_text.blocks(odd)] == want
     for odd in (None, "", "<", "<p", "<!-- open", "<script>never", "</p></div>"):
         assert all(b.text for b in html_text.blocks(odd))
 
@@ -62,6 +69,7 @@ def test_html_labels(spark):
     want = "Title here\n\nFirst long paragraph of the text, with words.\n\nSecond paragraph follows it."
     got = html_text.extract(df, net).collect()
     assert sorted((r.page_id, r.text) for r in got) == [(1, want), (1, want), (2, ""), (3, "")]
+    assert html_text.extract(df.limit(0), net).count() == 0
 
 
 def brute(texts, order):
