@@ -123,18 +123,57 @@ def test_audio_round_trip_and_resync():
         data = mpeg_audio.pad64(text)
         stored = mpeg_audio.store(data)
         back = mpeg_audio.load(stored)
-        assert back["payload"] == data and not back["crc_errors"] and back["xing_frames"] == len(back["offsets"])
+        assert back["payload"] == data and not back["crc_errors"] and back["vbr_frames"] == len(back["offsets"]) and back["vbr_ok"]
     noisy = mpeg_audio.store(mpeg_audio.pad64(b"abc" * 900))
     at = mpeg_audio.load(noisy)["offsets"][0]
     assert mpeg_audio.load(noisy[:at] + b"junk" + noisy[at:])["skipped"] == 4
 
 
-def test_warc_revisits(spark):
-    rows = [(1, "u", "same"), (3, "u\r\nX: y", "same"), (2, None, "other"), (4, "u", None), (5, "u", "")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.page_id: r for r in warc.read(warc.records(pages)).collect()}
-    assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {1: ("revisit", 3), 3: ("response", None), 2: ("response", None), 4: ("revisit", 5), 5: ("response", None)}
-    assert got[1].payload_bytes == 4 and got[2].payload_digest == warc.digest(b"other")
+def test_warc_revisits(spark, tmp_path):
+    rows = [(1, "u", "same\r\n\r\nx"), (3, "u\r\nX: y", "same\r\n\r\nx"), (2, None, "other"), (4, "u", None), (5, "u", ""), (5, "u", ""), (None, "u", "other"), (None, "u", "alone é")]
+    pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, sha string")
+    for few in (10, 0):
+        warc.FEW = few
+        path = warc.write_archives(pages, f"{tmp_path}/{few}")
+        got = sorted((str(r.page_id), r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in warc.read(spark, path).collect())
+        same, other, none = (warc.digest(x) for x in (b"same\r\n\r\nx", b"other", b""))
+        want = [("1", "revisit", 3, 9, same), ("3", "response", None, 9, same), ("2", "response", None, 5, other), ("4", "revisit", 5, 0, none), ("5", "response", None, 0, none), ("5", "response", None, 0, none)]
+        assert got == sorted([*want, ("None", "revisit", 2, 5, other), ("None", "response", None, 8, warc.digest("alone é".encode()))], key=str)
+        found = [f for p in (tmp_path / str(few)).glob("*.gz") for f, _ in warc.parse(p.read_bytes())]
+        assert all({"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Type", "Content-Length"} <= f.keys() for f in found) and any(f["WARC-Type"] == "warcinfo" for f in found)
+        assert all(f["WARC-Refers-To-Target-URI"] and f["WARC-Refers-To-Date"] for f in found if f["WARC-Type"] == "revisit")
+    assert warc.read(spark, warc.write_archives(pages.limit(0), f"{tmp_path}/none")).count() == 0
+
+
+def test_audio_columns(spark):
+    rows = [("a", None, 1), ("a", None, 1), (None, "", 2), ("b", "x" * 5000, 3)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, media int")
+    media = mpeg_audio.audio(df)
+    got = mpeg_audio.media_columns(media).collect()
+    assert sorted((str(r.doc_id), r.samples, r.vbr_ok) for r in got) == [("None", 1152, True), ("a", 1152, True), ("a", 1152, True), ("b", 1152 * 6, True)]
+    assert all(abs(r.seconds - 0.024 * len(r.offsets)) < 1e-12 and r.tags["TXXX:payload"] for r in got)
+    assert mpeg_audio.audio(df.limit(0)).count() == 0
+    damaged = bytearray(mpeg_audio.store(bytes(6400)))
+    at = mpeg_audio.load(bytes(damaged))["offsets"][2]
+    damaged[at + 8] ^= 1
+    assert mpeg_audio.load(bytes(damaged))["crc_errors"] == 1
+    cut = mpeg_audio.load(bytes(damaged[:-50]))
+    assert cut["vbr_ok"] is False and len(cut["offsets"]) < cut["vbr_frames"]
+    for odd in (b"", b"ID3", b"ID3\x03\0\0\x7f\x7f\x7f\x7f", b"\xff\xfb", b"\xff" * 300):
+        x = mpeg_audio.load(odd)
+        assert not x["offsets"] and x["seconds"] == 0 and x["vbr_ok"] is None
+
+
+def test_frames_of_other_kinds():
+    # header, bytes, samples, sample rate, as in the format's definition
+    for head, size, samples, rate in (("fffb9000", 417, 1152, 44100), ("fffb9200", 418, 1152, 44100), ("fff38000", 208, 576, 22050), ("ffe34000", 104 * 2, 576, 11025), ("fffd8400", 384, 1152, 48000), ("ffff4800", 192, 384, 32000)):
+        f = mpeg_audio.frame(bytes.fromhex(head), 0)
+        assert (f.size, f.samples, f.rate) == (size, samples, rate), head
+        one = bytes.fromhex(head).ljust(size, b"\0")
+        x = mpeg_audio.load(b"junk" + one * 5)
+        assert (len(x["offsets"]), x["skipped"], x["samples"]) == (5, 4, 5 * samples)
+    for head in ("ffeb9000", "fff99000", "fffbf000", "fffb0000", "fffb9c00"):
+        assert mpeg_audio.frame(bytes.fromhex(head), 0) is None
 
 
 def thue_morse(n, a="a", b="b"):
