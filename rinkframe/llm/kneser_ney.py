@@ -39,6 +39,8 @@ CHUNK_BYTES = 8 << 20
 STEP = 1 << 20
 #: Documents with a perplexity above their language's QUANTILE of trusted ones are not kept; one trusted id in HELD sets the quantile and isn't counted.
 QUANTILE, HELD = 0.99, 5
+#: Trusted ids that are broadcast (8 bytes each).
+FEW = 1_000_000
 #: Bytes: A-Z in lower case, NUL (which marks what is before a text) as 1.
 LOW = np.array([1, *(b + 32 if 65 <= b <= 90 else b for b in range(1, 256))], np.uint8)
 
@@ -247,7 +249,10 @@ def quality(documents: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id"
     ids = trusted_ids.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     held = F.pmod(F.xxhash64("id"), F.lit(HELD)) == 0
-    model = fit(rows.join(ids.where(~held), "id", "left_semi"), "text", order)
+    ids = checkpointed(ids)
+    learned = ids.where(~held)
+    # few ids go to the texts; many are met by a shuffle
+    model = fit(rows.join(F.broadcast(learned) if ids.count() <= FEW else learned, "id", "left_semi"), "text", order)
     if model.isEmpty():
         scored = rows.select("id", F.lit(None).cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("log_p")).limit(0)
     else:
