@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, checkpointed, ensure_checkpoint_dir, flat, ship, steps, table
 
 ORDER = 5
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
 #: Bytes of text that one numpy step handles, also of a long document.
 STEP = 1 << 20
 #: Documents with a perplexity above their language's QUANTILE of trusted ones are not kept; one trusted id in HELD sets the quantile and isn't counted.
@@ -176,7 +176,7 @@ def _chunks(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, pack.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_batch(pack)
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "pack"])
+        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "pack"])
 
     for batch in batches:
         for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -218,7 +218,7 @@ def perplexities(documents: DataFrame, model: DataFrame, id_col: str = "doc_id",
     """(id, n_bytes, log_p) of rows with a text; one row for each row."""
     spark = documents.sparkSession
     source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text <> ''")
-    chunks = arrow_map(source, lambda it: _chunks(it, chunk_bytes), "chunk string, pack binary")
+    chunks = arrow_map(source, lambda it: _chunks(it, chunk_bytes), "chunk long, pack binary")
     # written once: chunk names are drawn, so they must not be drawn again
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/chunks-{uuid.uuid4().hex}"
     chunks.write.parquet(path)
@@ -230,9 +230,9 @@ def perplexities(documents: DataFrame, model: DataFrame, id_col: str = "doc_id",
                 wanted = _wanted(*flat(_unpack(pack).column("text")), order)
                 for a in range(0, len(wanted), 1 << 16):
                     keys = pa.array(wanted[a : a + (1 << 16)])
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys)), keys], ["chunk", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), name, np.int64)), keys], ["chunk", "key"])
 
-    answers = arrow_map(chunks, ask, "chunk string, key long").join(model, "key").select("chunk", "key", "p", "gamma")
+    answers = arrow_map(chunks, ask, "chunk long, key long").join(model, "key").select("chunk", "key", "p", "gamma")
     ship(spark)
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scorer(order), "id long, n_bytes long, log_p double")
 
