@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rinkframe.session import table
 
+# What the lines of a shot look like.
 SCORE, TURN, PLAYER = r"^\d+%$|^-$", "^[↺↻]$", r"^[A-Z]{3}: .+$"
 
 
@@ -29,13 +30,14 @@ def parse_records(lines: DataFrame, by: list[str], order: list[str], is_score, i
 
 
 def shots(lines: DataFrame, by: list[str], line_no: str, text: str) -> DataFrame:
-    """F7-F9 on parse_records: type, score (null for a dash), turn (cw, ccw or null), team, player."""
+    """F7-F9 on parse_records: type, score (null for a dash), turn (cw, ccw or null), team, player (all behind the first ": "), parts (2, or more if the player's line has more)."""
     w = W.partitionBy(*by).orderBy(line_no)
     near = lines.select("*", *(F.lead(text, k).over(w).alias(f"__{k}") for k in (1, 2, 3)))
     got = parse_records(near, by, [line_no], F.col(text).rlike(SCORE), F.col(text).rlike(TURN), F.col(text).rlike(PLAYER))
-    person = F.split(F.when(F.col("length") == 4, F.col("__3")).otherwise(F.col("__2")), ": ", 2)
+    line = F.when(F.col("length") == 4, F.col("__3")).otherwise(F.col("__2"))
+    person = F.split(line, ": ", 2)
     turn = F.when(F.col("length") == 4, F.when(F.col("__2") == "↻", "cw").otherwise("ccw"))
-    return got.select(*by, line_no, F.col(text).alias("type"), F.rtrim(F.col("__1"), F.lit("%")).try_cast("int").alias("score"), turn.alias("turn"), person[0].alias("team"), person[1].alias("player"))
+    return got.select(*by, line_no, F.col(text).alias("type"), F.rtrim(F.col("__1"), F.lit("%")).try_cast("int").alias("score"), turn.alias("turn"), person[0].alias("team"), person[1].alias("player"), F.size(F.split(line, ": ", -1)).alias("parts"))
 
 
 def dense_ids(df: DataFrame, key: str, width: int, offset, name: str = "id") -> DataFrame:
@@ -47,6 +49,16 @@ def dense_ids(df: DataFrame, key: str, width: int, offset, name: str = "id") ->
     return ranged.join(start, "__range").withColumn(name, (offset + F.col("__start") + place).cast("long")).drop("__range", "__start")
 
 
+def dense_ranks(df: DataFrame, key: list[str], offset: int = 0, name: str = "id") -> DataFrame:
+    """Ids from offset + 1 in the order of key; rows of one document (key[0]) are numbered by themselves, behind the counts of all before. Equal keys get ids in no fixed order."""
+    doc = key[0]
+    counts = df.groupBy(doc).agg(F.count("*").alias("__n"))
+    # a row for each document is all that meets in one place
+    start = counts.withColumn("__start", F.sum("__n").over(W.orderBy(doc).rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).drop("__n")
+    place = F.row_number().over(W.partitionBy(doc).orderBy(*key))
+    return df.join(start, doc).withColumn(name, (F.lit(offset) + F.col("__start") + place).cast("long")).drop("__start")
+
+
 def q_record_parse(spark, d):
     kind = F.col("event_type")
     got = parse_records(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], kind == "click", kind == "purchase", kind == "error")

@@ -11,8 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+KINDS = {"bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Schema of "name type[ NOT NULL], ..."; Spark's own parser would need a session here."""
+    words = [x.split() for x in text.split(", ")]
+    return T.StructType([T.StructField(w[0], KINDS[w[1]], len(w) == 2) for w in words])
 
 
 # K1: the tables. ends has is_power_play in mixed doubles alone; where both are kept together it is null for four players.

@@ -33,7 +33,7 @@ def test_shots_from_page_files(spark, tmp_path):
     (tmp_path / "A.TXT").write_text("Draw\n75%\n↻\nCAN: A ONE\nTake-out\n-\nSUI: B TWO\n\fnoise\nGuard\n100%\n↺\nNOR: C THREE", encoding="utf-8")
     (tmp_path / "b.bin").write_text("Draw\n75%\n↻\nCAN: A ONE")
     lines = page_lines(page_text(spark, str(tmp_path)))
-    got = [tuple(r)[3:] for r in shots(lines, ["doc_id", "page_no"], "line_no", "line").orderBy("page_no", "line_no").collect()]
+    got = [tuple(r)[3:8] for r in shots(lines, ["doc_id", "page_no"], "line_no", "line").orderBy("page_no", "line_no").collect()]
     assert got == [("Draw", 75, "cw", "CAN", "A ONE"), ("Take-out", None, None, "SUI", "B TWO"), ("Guard", 100, "ccw", "NOR", "C THREE")]
 
 
