@@ -54,6 +54,14 @@ def q_box_suppression(spark, d):
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 ORACLE_SQL = {
     "pixel_counts": "SELECT vec_id, CAST(b AS BIGINT) AS bright, CAST(n - b AS BIGINT) AS dark, n - b > b AS inverted FROM (SELECT vec_id, len(embedding) AS n, len(list_filter(embedding, lambda x: x > 0)) AS b FROM embeddings)",
-    "rotate_mask": """WITH t AS (SELECT vec_id, embedding[2] <= 0 AND embedding[3] <= 0 AND embedding[4] <= 0 AS turned, embedding AS e, len(embedding) AS n FROM embeddings), i AS (SELECT *, unnest(generate_series(0, 5)) AS k FROM t)
+    "rotate_mask": """WITH t AS (SELECT vec_id, embedding[2] <= 0 AND embedding[3] <= 0 AND embedding[4] <= 0 AS turned, embedding AS e, len(embedding) AS n FROM embeddings), i AS (SELECT *, unnest(generate_series(0, n - 1)) AS k FROM t)
 SELECT vec_id, turned, CAST(k AS INT) AS at, CASE WHEN k < 4 OR k >= n - 4 THEN CAST(1 AS FLOAT) WHEN turned THEN e[n - k] ELSE e[k + 1] END AS pixel FROM i""",
+    # the suppression itself: in the order of confidence, a box stays if no box that has stayed overlaps it
+    "box_suppression": """WITH RECURSIVE b AS (SELECT vec_id, vec_id // 16 AS image, abs(CAST(embedding[1] AS DOUBLE)) % 1 / 2 + 0.5 AS conf, CAST(embedding[2] AS DOUBLE) AS x1, CAST(embedding[3] AS DOUBLE) AS y1 FROM embeddings),
+c AS (SELECT vec_id, CAST(image AS BIGINT) AS image, conf, x1, y1, x1 + 0.2 AS x2, y1 + 0.2 AS y2, row_number() OVER (PARTITION BY image ORDER BY conf DESC, x1, y1, x1 + 0.2, y1 + 0.2) AS n FROM b),
+o AS (SELECT p.image, p.n AS p, q.n AS q FROM c p JOIN c q ON p.image = q.image AND p.n < q.n WHERE greatest(least(p.x2, q.x2) - greatest(p.x1, q.x1), 0) * greatest(least(p.y2, q.y2) - greatest(p.y1, q.y1), 0)
+ > 0.3 * ((p.x2 - p.x1) * (p.y2 - p.y1) + (q.x2 - q.x1) * (q.y2 - q.y1) - greatest(least(p.x2, q.x2) - greatest(p.x1, q.x1), 0) * greatest(least(p.y2, q.y2) - greatest(p.y1, q.y1), 0))),
+s AS (SELECT image, 0 AS n, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT image FROM c)
+ UNION ALL SELECT s.image, s.n + 1, CASE WHEN EXISTS (SELECT 1 FROM o WHERE o.image = s.image AND o.q = s.n + 1 AND list_contains(s.kept, o.p)) THEN s.kept ELSE list_append(s.kept, s.n + 1) END FROM s WHERE s.n < (SELECT max(n) FROM c WHERE c.image = s.image))
+SELECT vec_id, c.image, conf, x1, y1, x2, y2 FROM c JOIN (SELECT image, arg_max(kept, n) AS kept FROM s GROUP BY image) k ON k.image = c.image AND list_contains(kept, c.n)""",
 }

@@ -37,10 +37,22 @@ def possession(rounds: DataFrame, by: list[str], order: list[str], a: str, b: st
     return island.withColumn("hammer", ((F.col("__base") + n) % 2).cast("int")).drop("__island", "__base")
 
 
-def whole_pages_until(pages: DataFrame, order: list[str], n: str, budget: int) -> DataFrame:
-    """Whole pages until their running sum reaches the budget."""
-    before = W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return pages.withColumn("__sum", F.coalesce(F.sum(n).over(before), F.lit(0))).where(F.col("__sum") < budget).drop("__sum")
+def whole_pages_until(pages: DataFrame, order: list[str], n: str, budget: int, by: list[str] | None = None, width: int = 100_000) -> DataFrame:
+    """Whole pages until their running sum reaches the budget, in each group of `by` (a document). A null n counts as 0.
+
+    Without groups, order is one integer key: ranges of `width` keys are summed up first, and only ranges that begin below the budget are ordered, each by itself.
+    """
+    if by:
+        before = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        return pages.withColumn("__sum", F.coalesce(F.sum(n).over(before), F.lit(0))).where(F.col("__sum") < budget).drop("__sum")
+    key = order[0]
+    ranged = pages.withColumn("__range", F.floor(F.col(key) / width))
+    sums = ranged.groupBy("__range").agg(F.coalesce(F.sum(n), F.lit(0)).alias("__n"))
+    # a row for each range is all that meets in one place
+    start = sums.withColumn("__start", F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).where(F.col("__start") < budget).drop("__n")
+    before = W.partitionBy("__range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    near = ranged.join(start, "__range").withColumn("__sum", F.col("__start") + F.coalesce(F.sum(n).over(before), F.lit(0)))
+    return near.where(F.col("__sum") < budget).drop("__range", "__start", "__sum")
 
 
 def _events(spark, d):
@@ -68,7 +80,7 @@ def q_possession_alternate(spark, d):
 
 
 def q_image_budget(spark, d):
-    return whole_pages_until(table(spark, d, "documents"), ["doc_id"], "n_chars", 100_000).select("doc_id", "n_chars")
+    return whole_pages_until(table(spark, d, "documents"), ["doc_id"], "n_chars", 100_000, width=50).select("doc_id", "n_chars")
 
 
 def q_throw_order(spark, d):
@@ -83,7 +95,9 @@ def q_thrower_colour(spark, d):
 
 
 _SEQ = "SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events"
-_ROUNDS = f"SELECT event_id, ts, user_id, g, event_id % 3 AS a, (event_id // 3) % 3 AS b FROM ({_SEQ}) WHERE g > 0"
+# a game ends with its first error row
+_ROUNDS = f"""SELECT event_id, ts, user_id, g, event_id % 3 AS a, (event_id // 3) % 3 AS b FROM ({_SEQ}) WHERE g > 0
+QUALIFY coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0"""
 _WON = "CASE WHEN a > b THEN 1 WHEN a < b THEN 0 END"
 _BEFORE = "(PARTITION BY user_id, g ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 QUERIES = {

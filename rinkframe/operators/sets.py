@@ -56,7 +56,7 @@ def q_hierarchy_rollup(spark, d):
 
 def q_size_filter(spark, d):
     """Bounds are inclusive."""
-    return table(spark, d, "part").where("p_size between 10 and 20 and p_retailprice between 1000 and 1500").select("p_partkey")
+    return table(spark, d, "part").where("p_size between 10 and 20 and p_retailprice between 920 and 960").select("p_partkey")
 
 
 def q_grid_gaps(spark, d):
@@ -76,6 +76,6 @@ FROM (SELECT * FROM e WHERE event_type = 'view') v FULL JOIN (SELECT * FROM e WH
     "table_stats": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in ("region", "nation", "customer", "orders", "lineitem")),
     "hierarchy_rollup": """WITH l AS (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY 1), o AS (SELECT o_custkey, count(*) AS orders, sum(lines) AS lines FROM orders LEFT JOIN l ON o_orderkey = l_orderkey GROUP BY 1)
 SELECT n_regionkey, count(*) AS customers, CAST(sum(orders) AS BIGINT) AS orders, CAST(sum(lines) AS BIGINT) AS lines FROM customer LEFT JOIN o ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""",
-    "size_filter": "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice BETWEEN 1000 AND 1500",
+    "size_filter": "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice BETWEEN 920 AND 960",
     "grid_gaps": "SELECT * FROM (SELECT DISTINCT p_size FROM part), (SELECT DISTINCT p_brand FROM part) EXCEPT SELECT p_size, p_brand FROM part",
 }

@@ -3,20 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from rinkframe.session import shared_folder
 
 
 def drain(stream: DataFrame, folder: str, keys: list[str]) -> None:
-    """Take all files there are; a repeated batch overwrites itself, and repeated keys come once."""
+    """Take all files there are; a repeated batch overwrites itself, and repeated keys come once.
+
+    The file source remembers its files; keys are held against what earlier batches wrote, so that no state grows in memory. Of rows with one key in a batch any may stay.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        fresh = batch.dropDuplicates(keys)
+        if number:
+            before = batch.sparkSession.read.parquet(f"{folder}/out").where(F.col("batch") < number)
+            fresh = fresh.join(before.select(*keys), keys, "left_anti").select(*batch.columns)
+        fresh.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    query = stream.dropDuplicates(keys).writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+class Progress(StreamingQueryListener):
+    """(batch, rows) of each batch that ends, for whoever shows it."""
+
+    def __init__(self, tell):
+        self.tell = tell
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.tell(event.progress.batchId, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def q_file_queue_stream(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     folder = shared_folder(spark, "queue")
