@@ -50,7 +50,7 @@ PERCENT = 85
 #: Sets of up to so many shingles are told apart by their words.
 FEW = 16
 #: Parts of a hot leader's members.
-SALTS = 32
+SALTS = 8
 #: In buckets of up to so many members, pairs across components are tried as they are.
 SMALL = 48
 
