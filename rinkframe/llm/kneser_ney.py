@@ -9,7 +9,8 @@ or broadcast: it is a table (key, p, gamma), spread by key.
 
 Texts are scored in chunks of up to CHUNK_BYTES: a chunk asks for its distinct n-grams once, the
 requests are joined with the model by key, and the answers meet their chunk again, where numpy backs off
-place by place. So a frequent n-gram costs a row for each chunk, not one for each occurrence.
+place by place. So a frequent n-gram costs a row for each chunk, not one for each occurrence. Chunks are made anew for both
+uses, not written: a chunk's name is a digest of what it holds, and a chunk that gets no answers is an error.
 
 A document's perplexity (per byte) is held against a quantile of its language's trusted documents that the
 counts have not seen: one trusted id in HELD, by a hash, is left out of them. Documents above are not kept.
@@ -23,15 +24,16 @@ perplexity and are kept; repeated rows repeat; empty tables give no rows; other
 from __future__ import annotations
 
 import functools
-import uuid
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, checkpointed, ensure_checkpoint_dir, flat, ship, steps, table
+from .common import arrow_map, checkpointed, flat, ship, steps, table
 
 ORDER = 5
 CHUNK_BYTES = 16 << 20
@@ -39,6 +41,8 @@ CHUNK_BYTES = 16 << 20
 STEP = 1 << 20
 #: Documents with a perplexity above their language's QUANTILE of trusted ones are not kept; one trusted id in HELD sets the quantile and isn't counted.
 QUANTILE, HELD = 0.99, 5
+#: What every chunk asks for besides its n-grams.
+ASKED = 1
 #: Trusted ids that are broadcast (8 bytes each).
 FEW = 1_000_000
 #: Bytes: A-Z in lower case, NUL (which marks what is before a text) as 1.
@@ -158,13 +162,13 @@ def _wanted(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
     """The distinct keys that a chunk can need: its n-grams of all orders and their contexts."""
     level = np.zeros(0, np.int64)
     for _, grams in places(data, offsets, order):
-        level = np.union1d(level, grams)
+        level = pd.unique(np.concatenate([level, pd.unique(grams)]))
     out = [level]
     for n in range(order, 0, -1):
-        out.append(np.unique(prefix(level, n)))
+        out.append(pd.unique(prefix(level, n)))
         if n > 1:
-            out.append(level := np.unique(suffix(level, n)))
-    return np.unique(np.concatenate(out))
+            out.append(level := pd.unique(suffix(level, n)))
+    return pd.unique(np.concatenate(out))
 
 
 def _chunks(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -176,7 +180,9 @@ def _chunks(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, pack.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_batch(pack)
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "pack"])
+        data = sink.getvalue().to_pybytes()
+        name = int.from_bytes(hashlib.blake2b(data, digest_size=8).digest()) >> 1
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], ["chunk", "pack"])
 
     for batch in batches:
         for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -196,6 +202,8 @@ def _unpack(pack: bytes) -> pa.RecordBatch:
 
 def _scored(left: pa.Table, right: pa.Table, order: int) -> pa.Table:
     known = right.column("key").to_numpy()
+    if left.num_rows and not (known == ASKED).any():
+        raise RuntimeError("a chunk without answers: the documents changed between two readings")
     rank = np.argsort(known, kind="stable")
     p, gamma = (right.column(c).to_numpy(zero_copy_only=False).astype(float)[rank] for c in ("p", "gamma"))
     known = known[rank]
@@ -206,7 +214,7 @@ def _scored(left: pa.Table, right: pa.Table, order: int) -> pa.Table:
         total = np.zeros(len(docs))
         for text, grams in places(data, offsets, order):
             # one look-up for each distinct n-gram
-            keys, at = np.unique(grams, return_inverse=True)
+            at, keys = pd.factorize(grams)
             total += np.bincount(text, log_probabilities(keys, known, p, gamma, order)[at], len(docs))
         log_p.append(total)
         n_bytes.append(np.diff(offsets))
@@ -216,23 +224,20 @@ def _scored(left: pa.Table, right: pa.Table, order: int) -> pa.Table:
 
 def perplexities(documents: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(id, n_bytes, log_p) of rows with a text; one row for each row."""
-    spark = documents.sparkSession
     source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text <> ''")
     chunks = arrow_map(source, lambda it: _chunks(it, chunk_bytes), "chunk long, pack binary")
-    # written once: chunk names are drawn, so they must not be drawn again
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/chunks-{uuid.uuid4().hex}"
-    chunks.write.parquet(path)
-    chunks = spark.read.parquet(path)
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, pack in zip(batch.column("chunk").to_pylist(), batch.column("pack").to_pylist(), strict=True):
-                wanted = _wanted(*flat(_unpack(pack).column("text")), order)
-                for a in range(0, len(wanted), 1 << 16):
-                    keys = pa.array(wanted[a : a + (1 << 16)])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), name, np.int64)), keys], ["chunk", "key"])
-
-    answers = arrow_map(chunks, ask, "chunk long, key long").join(model, "key").select("chunk", "key", "p", "gamma")
+        for batch in _chunks(batches, chunk_bytes):
+            name, docs = batch.column("chunk")[0].as_py(), _unpack(batch.column("pack")[0].as_py())
+            wanted = np.append(_wanted(*flat(docs.column("text")), order), ASKED)
+            for a in range(0, len(wanted), 1 << 16):
+                keys = pa.array(wanted[a : a + (1 << 16)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), name, np.int64)), keys], ["chunk", "key"])
+
+    asked = model.sparkSession.range(1).select(F.lit(ASKED).cast("long").alias("key"), F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("gamma"))
+    model = model.select("key", "p", "gamma").union(asked)
+    answers = arrow_map(source, ask, "chunk long, key long").join(model, "key").select("chunk", "key", "p", "gamma")
     ship(spark)
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scorer(order), "id long, n_bytes long, log_p double")
 
