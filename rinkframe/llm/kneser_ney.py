@@ -238,7 +238,7 @@ def perplexities(documents: DataFrame, model: DataFrame, id_col: str = "doc_id",
     asked = model.sparkSession.range(1).select(F.lit(ASKED).cast("long").alias("key"), F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("gamma"))
     model = model.select("key", "p", "gamma").union(asked)
     answers = arrow_map(source, ask, "chunk long, key long").join(model, "key").select("chunk", "key", "p", "gamma")
-    ship(spark)
+    ship(documents.sparkSession)
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scorer(order), "id long, n_bytes long, log_p double")
 
 
