@@ -81,9 +81,14 @@ LONG_WORD = 256
 FRONT = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
+def _lanes(low: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as one number."""
+    return np.ndarray((len(low),), "<u8", np.concatenate([low, np.zeros(8, np.uint8)]), strides=(1,))
+
+
 def word_hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64 bits of each word's bytes: its length and its lanes of 8 bytes, each mixed into what came before."""
-    lanes = np.ndarray((len(low),), "<u8", np.concatenate([low, np.zeros(8, np.uint8)]), strides=(1,))
+    lanes = _lanes(low)
     out = mix((end - start).astype(U64))
     todo = np.flatnonzero(end - start <= LONG_WORD)
     at = 0
@@ -130,10 +135,14 @@ class Words:
         _, first, at = np.unique(self.hash, return_index=True, return_inverse=True)
         size, model = self.end - self.start, first[at]
         same = size == size[model]
-        many = np.where(same, size, 0)
-        step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        differ = self.low[np.repeat(self.start, many) + step] != self.low[np.repeat(self.start[model], many) + step]
-        same[np.repeat(np.arange(len(size)), many)[differ]] = False
+        lanes = _lanes(self.low)
+        todo, place = np.flatnonzero(same), 0
+        while len(todo):
+            left = FRONT[np.minimum(size[todo] - place, 8)]
+            differ = (lanes[self.start[todo] + place] ^ lanes[self.start[model[todo]] + place]) & left != 0
+            same[todo[differ]] = False
+            place += 8
+            todo = todo[~differ & (size[todo] > place)]
         known: dict[bytes, int] = {}
         for i in np.flatnonzero(~same).tolist():  # words that share a hash
             at[i] = known.setdefault(self.word(i), len(first) + len(known))

@@ -49,6 +49,8 @@ BANDS, ROWS = 25, 5
 PERCENT = 85
 #: Sets of up to so many shingles are told apart by their words.
 FEW = 16
+#: Bytes of texts that are compared with others in one numpy step.
+PAIR_BYTES = 1 << 20
 #: Parts of a hot leader's members.
 SALTS = 8
 #: In buckets of up to so many members, pairs across components are tried as they are.
@@ -171,7 +173,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     """Of pairs (a, b), those whose full sets are alike enough. texts: (id, text), ids distinct."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "ta"):
+        for batch in steps(batches, "ta", PAIR_BYTES):
             keep = []
             for x, y, _, _ in pair_sets(batch.column("ta"), batch.column("tb"), shingle):
                 both = len(np.intersect1d(x, y, assume_unique=True))
@@ -228,7 +230,7 @@ def _against_leader(rest: DataFrame, texts: DataFrame, shingle: int, percent: in
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "ta"):
+        for batch in steps(batches, "ta", PAIR_BYTES):
             slack, linked, diff = [], [], []
             leaders = batch.column("leader").to_numpy().astype(U64)
             for leader, (x, y, hx, hy) in zip(leaders, pair_sets(batch.column("ta"), batch.column("tb"), shingle), strict=True):

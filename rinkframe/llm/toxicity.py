@@ -162,7 +162,7 @@ def score(documents: DataFrame, model: Model, text_col: str = "text") -> DataFra
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, text_col):
+        for batch in steps(batches, text_col, 1 << 20):
             x = np.array([shared.value.features(t) for t in batch.column(text_col).to_pylist()]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(x))], [*batch.schema.names, "__score"])
 
