@@ -42,7 +42,7 @@ from .common import arrow_map, steps, table, tokenizer_file
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how the vocabulary's texts are split. \\s of the reference library is Unicode's White_Space.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-CHUNK_BYTES, CHUNK_WORDS = 4 << 20, 1 << 16
+CHUNK_BYTES, CHUNK_WORDS = 2 << 20, 1 << 15
 LONG_BYTES = 400
 #: A part: rank of its pair with the next part (NONE if they don't merge), place, id. ids are below NONE.
 NONE, RANK_AT, PLACE_AT, LOW = (1 << 16) - 1, 47, 16, (1 << 16) - 1
