@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 import tempfile
@@ -201,7 +202,19 @@ def ship(spark: SparkSession) -> None:
         sc._rinkframe_shipped = True
 
 
+def release() -> None:
+    """Free memory that Arrow's pool and the C library keep: Spark uses Python workers again, several beside each JVM."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def arrow_map(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with the package at hand in the workers."""
+    """mapInArrow with the package at hand in the workers, which give back what a task used when it ends."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(task, schema)
