@@ -10,13 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rinkframe.functions import geometry, naming
-from rinkframe.operators import books, pixels, records, scores, sequences, sets, slots
+from rinkframe.operators import books, labels, pixels, records, scores, sequences, sets, slots
 from rinkframe.plans import book
 from rinkframe.streaming import queue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (sequences, sets, records, books, scores, slots, pixels, geometry, naming, book, queue):
+for module in (sequences, sets, records, books, scores, slots, labels, pixels, geometry, naming, book, queue):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
 
