@@ -264,14 +264,21 @@ def _by_difference(large: DataFrame, percent: int) -> DataFrame:
 
     The leader's component has been tried against the leader, so one of a new link's ends lies outside it;
     the smallest slack of the other end bounds what must be shared, and places too late for that go.
+    So does its size: what is shared is no more than the other's whole diff, whose slack is then
+    (100 + percent) * shared - (100 - percent) * size at least. This keeps a member unlike the leader to a small part of its diff.
     """
     main = F.max_by("root", F.col("id") == F.col("leader"))
     of_leader = large.groupBy("leader").agg(main.alias("main"))
     rows = _spread(large.where("id <> leader"), of_leader).withColumn("root", F.when(F.col("linked"), F.col("main")).otherwise(F.col("root")))
-    least = rows.groupBy("leader").agg(F.min("slack").alias("any"), F.min(F.when(F.col("root") != F.col("main"), F.col("slack"))).alias("outer"))
-    other = F.when(F.col("root") == F.col("main"), F.col("outer")).otherwise(F.col("any"))
-    must = F.ceil((F.col("slack") + other) / (2 * (100 + percent)))
-    able = _spread(rows, least).withColumn("size", F.size("diff")).withColumn("first", F.col("size") - F.greatest(must, F.lit(1)) + 1).where("first > 0")
+    outside = F.col("root") != F.col("main")
+    least = rows.groupBy("leader").agg(
+        F.min("slack").alias("any"), F.min(F.when(outside, F.col("slack"))).alias("outer"), F.max("n").alias("any_n"), F.max(F.when(outside, F.col("n"))).alias("outer_n")
+    )
+    other = F.when(outside, F.col("any")).otherwise(F.col("outer"))
+    most = F.least(F.when(outside, F.col("any_n")).otherwise(F.col("outer_n")), F.floor(F.col("n") * 100 / percent))
+    must = F.greatest(F.ceil((F.col("slack") + other) / (2 * (100 + percent))), F.ceil((F.col("slack") - (100 - percent) * most) / (100 + percent)))
+    # without a member outside, least() has nulls and no place is needed
+    able = _spread(rows, least).where("outer is not null").withColumn("size", F.size("diff")).withColumn("first", F.col("size") - F.greatest(must, F.lit(1)) + 1).where("first > 0")
     placed = able.select("id", "n", "root", "slack", "size", F.posexplode(F.slice("diff", F.lit(1), F.col("first").cast("int"))).alias("at", "key"))
     return placed.select("key", "id", "n", "root", "slack", (F.col("size") - F.col("at")).cast("long").alias("left"))
 
@@ -280,14 +287,14 @@ def _difference_stars(places: DataFrame, percent: int) -> tuple[DataFrame, DataF
     """The places whose key has several components, and the pairs of each key's smallest id with the others that could be links."""
     crowd = places.groupBy("key").agg(F.min(F.struct("id", "n", "slack", "left")).alias("leader"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     met = checkpointed(places.join(crowd.where("lo <> hi").select("key", "leader"), "key"))
-    possible = _enough(F.least("left", "leader.left"), F.col("slack") + F.col("leader.slack"), percent)
+    possible = _enough(F.least("left", "leader.left"), F.col("slack") + F.col("leader.slack"), percent) & _alike(F.col("n"), F.col("leader.n"), percent)
     return met, met.where(possible & (F.col("id") != F.col("leader.id"))).select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def _difference_pairs(met: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of different components whose diffs can share enough, as seen from the first place they share."""
     others = _open(met, roots, "slack", "left").where("id <> leader")
-    condition = (F.col("x.root") < F.col("y.root")) & _enough(F.least("x.left", "y.left"), F.col("x.slack") + F.col("y.slack"), percent)
+    condition = (F.col("x.root") < F.col("y.root")) & _enough(F.least("x.left", "y.left"), F.col("x.slack") + F.col("y.slack"), percent) & _alike(F.col("x.n"), F.col("y.n"), percent)
     return _pairs(others, others, "key", condition)
 
 

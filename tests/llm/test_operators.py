@@ -14,7 +14,7 @@ from rinkframe.llm.common import tokenizer_file
 DOC = "doc_id long, text string, lang string, n int"
 
 
-def brute_components(texts):
+def brute_components(texts, percent=85):
     sets = {}
     for i, t in texts:
         w = [x.encode().lower() for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
@@ -29,7 +29,7 @@ def brute_components(texts):
     ids = sorted(sets)
     for a in ids:
         for b in ids:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -63,6 +63,24 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
         assert got == want
 
 
+def test_near_duplicates_of_a_large_group(spark, monkeypatch):
+    """Copies edited more and less around one text, and texts that share a passage with it, in buckets that all go by their differences to a leader."""
+    pick, base = random.Random(9), [f"w{i}" for i in range(120)]
+    texts = [" ".join(base)]
+    for i in range(90):
+        own = list(base)
+        for at in pick.sample(range(len(own)), pick.randrange(1, 9)):
+            own[at] = f"x{pick.randrange(6)}"
+        texts.append(" ".join(own + [f"t{i % 7}y{j}" for j in range(pick.randrange(0, 12))]))
+    texts += [" ".join(base[: 20 + i] + [f"z{i // 3}u{j}" for j in range(30 + i % 3)]) for i in range(30)]
+    pick.shuffle(texts)
+    monkeypatch.setattr(near_dedup, "SMALL", 0)
+    for percent in (80, 85):
+        want = brute_components(list(enumerate(texts)), percent)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame([(i, t, "en", 1) for i, t in enumerate(texts)], DOC), percent=percent, bands=50, rows=2).collect()}
+        assert got == want and 5 < len({c for _, c in want.values()}) < 110
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], DOC)).count() == 0
 
