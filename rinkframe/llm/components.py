@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, checkpointed
 
+#: Edges that one task of a round reads, on average.
+EDGES_A_TASK = 1 << 18
+
 
 def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, root) for all nodes that aren't their own root; the root is the smallest node of its set."""
@@ -43,19 +46,29 @@ def connected_components(links: DataFrame) -> DataFrame:
     Stars: every node points to the smallest neighbour it knows (large and small star in turn) until
     nothing moves, in a number of rounds that grows with the logarithm of a component's size.
     Minima are pre-aggregated and a hub's neighbours are joined, never gathered in one place.
+    links are counted first and so are read twice: give them from a checkpoint. Rounds have a task for every
+    EDGES_A_TASK edges (one for each core at least), as most rounds have few edges and no use for all shuffle partitions.
     """
-    edges = checkpointed(arrow_map(links.where("a <> b").select("a", "b"), _local, "a long, b long"))
-    state = None
+    spark = links.sparkSession
+    cores, partitions = spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(df: DataFrame, edges: int) -> DataFrame:
+        tasks = max(cores, -(-edges // EDGES_A_TASK))
+        return df.coalesce(tasks) if tasks < partitions else df
+
+    links = links.where("a <> b").select("a", "b")
+    n, state = links.count(), None
+    edges = checkpointed(arrow_map(dealt(links, n), _local, "a long, b long"))
     while True:
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        edges = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = dealt(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), n)
+        edges = dealt(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), n)
         # small star: neighbours that are smaller point to the smallest of them
         down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        least = dealt(down.groupBy("a").agg(F.min("b").alias("m")), n)
         hop = down.join(least, "a")
-        edges = checkpointed(hop.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct())
+        edges = checkpointed(dealt(hop.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct(), n))
         row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == row:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = row
+        n, state = row[0], row

@@ -241,7 +241,7 @@ def _against_leader(rest: DataFrame, texts: DataFrame, shingle: int, percent: in
                 diff.append(mix(own ^ mix(np.array([leader], U64))).view(np.int64))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("leader", "id", "n", "root")), pa.array(slack, pa.int64()), pa.array(linked), pa.array(diff, pa.list_(pa.int64()))], ["leader", "id", "n", "root", "slack", "linked", "diff"])
 
-    groups = connected_components(rest.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()).select("node", F.col("root").alias("leader"))
+    groups = connected_components(rest.select(F.col("leader").alias("a"), F.col("id").alias("b"))).select("node", F.col("root").alias("leader"))
     members = rest.select("id", "n", "root").distinct()
     rows = members.join(groups, members["id"] == groups["node"], "left").select(F.coalesce("leader", "id").alias("leader"), "id", "n", "root")
     ta, tb = texts.select(F.col("id").alias("leader"), F.col("text").alias("ta")), texts.select("id", F.col("text").alias("tb"))
