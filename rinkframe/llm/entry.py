@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, html_text, kneser_ney, language, mpeg_audio, near_dedup, secrets, toxicity, url_filter, warc
+from . import byte_bpe, decontaminate, html_text, kneser_ney, language, mpeg_audio, near_dedup, resample, secrets, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     "op11_url_filter": url_filter.op11_url_filter,
+    "op12_resample": resample.op12_resample,
 }
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op7_warc": warc.OP7_SQL,
     "op9_near_dedup": near_dedup.OP9_SQL,
     "op11_url_filter": url_filter.op11_sql(),
+    "op12_resample": resample.OP12_SQL,
 }
