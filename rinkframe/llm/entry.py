@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, html_text, kneser_ney, language, mpeg_audio, near_dedup, resample, secrets, toxicity, url_filter, warc
+from . import byte_bpe, decontaminate, html_text, kneser_ney, language, mpeg_audio, near_dedup, resample, secrets, toxicity, url_filter, vector_code, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     "op11_url_filter": url_filter.op11_url_filter,
     "op12_resample": resample.op12_resample,
+    "op13_vector_code": vector_code.op13_vector_code,
 }
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.OP1_SQL,
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op9_near_dedup": near_dedup.OP9_SQL,
     "op11_url_filter": url_filter.op11_sql(),
     "op12_resample": resample.OP12_SQL,
+    "op13_vector_code": vector_code.op13_sql(),
 }
