@@ -87,6 +87,7 @@ def _chunk(batch: pa.RecordBatch, most: int) -> list:
     size = np.concatenate([np.full(len(g), g.shape[1]) for g in grams])
     flat = pa.array(np.concatenate([g.ravel() for g in grams]).astype(np.int32))
     every = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), flat)
+    every = every if most > 1 else every[:0]  # grams of one word are the words
     total = np.bincount(gram, weights=times, minlength=int(base[-1])).astype(np.int64)
     return [binaries(words, first), every, pa.array(total), batch.column("id"), pa.array(n_words), pa.array(n), len(packed).to_bytes(8, "little") + pa.compress(packed, "zstd", asbytes=True)]
 
@@ -121,28 +122,28 @@ def chunks(texts: DataFrame, target: bool, most: int, size: int = CHUNK_BYTES) -
 
 
 def buckets(made: DataFrame, most: int, n: int) -> DataFrame:
-    """chunk, target, at (a gram's place in its chunk), bucket, times of all chunks' grams."""
-    asked = made.select("chunk", F.posexplode("words").alias("at", "word"))
-    # ids of distinct words, written once: a task that runs again gives no others
-    dictionary = staged(asked.select("word").distinct().withColumn("id", F.monotonically_increasing_id()), "dictionary")
-    known = asked.join(dictionary, "word").select("chunk", "at", "id")
-    if most == 1:  # grams are the words in their order
-        times = made.select("chunk", "target", F.posexplode("times").alias("at", "times"))
-        grams = known.withColumn("gram", F.array("id")).drop("id")
+    """chunk, target, at (a gram's place in its chunk), times, bucket of all chunks' grams."""
+    zipped = F.arrays_zip("words", "times") if most == 1 else F.transform("words", lambda w: F.struct(w.alias("words"), F.lit(None).cast("long").alias("times")))
+    asked = made.select("chunk", "target", F.posexplode(zipped).alias("at", "x")).select("chunk", "target", "at", "x.times", F.col("x.words").alias("word"), F.monotonically_increasing_id().alias("own"))
+    # a word's id is the first place that asks for it; chunks are written, so the places stay
+    asked = asked.withColumn("id", F.min("own").over(W.partitionBy("word")))
+    known = staged(asked.select("chunk", "target", "at", "times", "id", F.when(F.col("own") == F.col("id"), F.col("word")).alias("word")), "words")
+    dictionary = known.where("word is not null").select("id", "word")
+    tuple_of = [f"g{k}" for k in range(most)]
+    if most == 1:  # grams are the words in their order, and the distinct ones are the dictionary
+        grams, distinct = known.select("chunk", "target", "at", "times", F.col("id").alias("g0")), dictionary.select(F.col("id").alias("g0"), F.col("word").alias("__w0"))
     else:
         ids = known.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("at", "id")))["id"].alias("ids"))
-        global_ids = F.transform("grams", lambda g: F.transform(g, lambda i: F.get("ids", i)))
-        grams = made.select("chunk", "grams").join(ids, "chunk").select("chunk", F.posexplode(global_ids).alias("at", "gram"))
-        times = made.select("chunk", "target", F.posexplode("times").alias("at", "times"))
-    distinct = grams.select("gram").distinct()
-    for k in range(most):
-        word = dictionary.select(F.col("id").alias("__id"), F.col("word").alias(f"__w{k}"))
-        distinct = distinct.withColumn("__id", F.get("gram", F.lit(k))).join(word, "__id", "left").drop("__id")
+        each = made.select("chunk", "target", "grams", "times").join(ids, "chunk").select("chunk", "target", "ids", F.posexplode(F.arrays_zip("grams", "times")).alias("at", "x"))
+        place = lambda k: F.get("x.grams", F.lit(k))
+        grams = each.select("chunk", "target", "at", "x.times", *(F.coalesce(F.get("ids", place(k)), F.lit(-1)).alias(g) for k, g in enumerate(tuple_of)))
+        distinct = grams.select(*tuple_of).distinct()
+        for k, g in enumerate(tuple_of):
+            distinct = distinct.join(dictionary.select(F.col("id").alias(g), F.col("word").alias(f"__w{k}")), g, "left")
     text = F.col("__w0")
     for k in range(1, most):
         text = F.concat(text, F.coalesce(F.concat(F.lit(b" "), F.col(f"__w{k}")), F.lit(b"")))
-    hashed = distinct.select("gram", (F.crc32(text) % n).cast("int").alias("bucket"))
-    return grams.join(hashed, "gram").drop("gram").join(times, ["chunk", "at"])
+    return grams.join(distinct.select(*tuple_of, (F.crc32(text) % n).cast("int").alias("bucket")), tuple_of).drop(*tuple_of)
 
 
 def gains(totals: dict[tuple[bool, int], int], n: int) -> np.ndarray:
