@@ -38,8 +38,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from rinkframe.operators import scores
 from rinkframe.schemas import LAYERS
-from rinkframe.session import ship
+from rinkframe.session import shared_folder, ship, table
 
 NAME = "result_book"
 #: Bytes of a bundle for a task, and of rows for a batch.
@@ -325,3 +326,38 @@ def write_books(rows: DataFrame, path: str, layer: str = "page_text", mode: str
     register(rows.sparkSession)
     ordered = rows.select(*LAYERS[layer].fieldNames()).repartition("doc_id").sortWithinPartitions("doc_id", "page_no")
     ordered.write.format(NAME).options(path=path, layer=layer).mode(mode).save()
+
+
+def _page_bundles(spark: SparkSession, d: str) -> str:
+    """Books of up to 50 pages made from the web pages, as bundles."""
+    pages = table(spark, d, "pages").select(F.format_string("b%05d", F.floor(F.col("page_id") / 50)).alias("doc_id"), (F.col("page_id") % 50 + 1).cast("int").alias("page_no"), F.col("html").alias("text"))
+    folder = shared_folder(spark, "bundles")
+    write_books(pages, folder)
+    return folder
+
+
+def q_bundle_pages(spark: SparkSession, d: str) -> DataFrame:
+    """S3: every page of every book, each file read in ranges of 16 kB."""
+    return read_books(spark, _page_bundles(spark, d), bytes=16_384).select("doc_id", "page_no", F.md5("text").alias("digest"))
+
+
+def q_bundle_page_range(spark: SparkSession, d: str) -> DataFrame:
+    """S3: pages 10 to 40 of some books; other files and entries aren't read."""
+    wanted = F.col("doc_id").startswith("b0000") & F.col("page_no").between(10, 40)
+    return read_books(spark, _page_bundles(spark, d), where=wanted, bytes=16_384).select("doc_id", "page_no", F.length("text").cast("long").alias("n_chars"))
+
+
+def q_bundle_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Table cells through bundles, to the score table of each page."""
+    folder = shared_folder(spark, "bundles")
+    write_books(scores.stand_in_cells(spark, d), folder, "page_cells")
+    return scores.pick_table(read_books(spark, folder, "page_cells", bytes=65_536)).select("doc_id", "page_no", "table_no", "row_no", "col_no", "cell")
+
+
+QUERIES = {"bundle_pages": q_bundle_pages, "bundle_page_range": q_bundle_page_range, "bundle_cells": q_bundle_cells}
+_BOOK = "SELECT 'b' || lpad(CAST(page_id // 50 AS VARCHAR), 5, '0') AS doc_id, CAST(page_id % 50 + 1 AS INT) AS page_no"
+ORACLE_SQL = {
+    "bundle_pages": f"{_BOOK}, md5(html) AS digest FROM pages WHERE html IS NOT NULL",
+    "bundle_page_range": f"{_BOOK}, length(html) AS n_chars FROM pages WHERE html IS NOT NULL AND page_id < 500 AND page_id % 50 BETWEEN 9 AND 39",
+    "bundle_cells": scores.ORACLE_SQL["score_table_cells"],
+}
