@@ -13,11 +13,11 @@ from rinkframe.functions import geometry, naming
 from rinkframe.operators import books, labels, pixels, records, scores, sequences, sets, slots
 from rinkframe.plans import book
 from rinkframe.sources import bundles, store
-from rinkframe.streaming import queue
+from rinkframe.streaming import pages as page_stream, queue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (sequences, sets, records, books, scores, slots, labels, pixels, geometry, naming, book, bundles, store, queue):
+for module in (sequences, sets, records, books, scores, slots, labels, pixels, geometry, naming, book, bundles, store, queue, page_stream):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
 
