@@ -73,18 +73,21 @@ def fragments(text: str | None, most: int = GRAM) -> set[str]:
 
 def contrast(toxic: list[str | None], clean: list[str | None]) -> list[tuple[float, str]]:
     """(log-likelihood ratio, fragment), ascending: fragments in a share of the toxic texts that is RATIO times their share of the clean ones, beyond chance."""
-    a, na, nb, out = {}, len(toxic), len(clean), []
+    docs, near, na, nb, out = {}, {}, len(toxic), len(clean), []
     texts = [["", *re.findall(r"\w+", (t or "").lower()), ""] for t in toxic]
     for n in range(1, GRAM + 1):
-        near, docs = defaultdict(set), defaultdict(set)
+        around, found = defaultdict(set), defaultdict(set)
         for d, words in enumerate(texts):
             for i in range(1, len(words) - n):
-                # an n-gram is as rare as its parts, so few need counting
-                if n == 1 or (" ".join(words[i : i + n - 1]) in a and " ".join(words[i + 1 : i + n]) in a):
+                # an n-gram is in no more texts than its parts, so few need counting
+                if n == 1 or (" ".join(words[i : i + n - 1]) in docs and " ".join(words[i + 1 : i + n]) in docs):
                     w = " ".join(words[i : i + n])
-                    near[w].add((words[i - 1], words[i + n]))
-                    docs[w].add(d)
-        a |= {w: k for w in near if (k := min(len(near[w]), len(docs[w]))) >= 3}
+                    around[w].add((words[i - 1], words[i + n]))
+                    found[w].add(d)
+        docs |= {w: len(x) for w, x in found.items() if len(x) >= 3}
+        near |= {w: len(around[w]) for w in found if w in docs}
+    # words that stand in few neighbourhoods alone are parts of a longer phrase, or of a family of copies
+    a = {w: k for w in docs if (k := min(docs[w], near[w])) >= 3}
     b = Counter(w for t in clean for w in fragments(t) if w in a)
 
     def fits(k: int, n: int, p: float) -> float:
