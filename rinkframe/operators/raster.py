@@ -247,8 +247,8 @@ def q_decoded_images(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {"decoded_images": q_decoded_images}
 ORACLE_SQL = {
     "decoded_images": """WITH l AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN CAST(x AS DOUBLE) > CAST(0.1 AS DOUBLE) THEN 255 WHEN CAST(x AS DOUBLE) < CAST(-0.05 AS DOUBLE) THEN 0 ELSE CAST(floor(CAST(x AS DOUBLE) * 1000 + 100) AS INT) END) AS v, CASE WHEN vec_id % 2 = 1 THEN 8 ELSE 4 END AS w FROM embeddings WHERE len(embedding) = 64),
-p AS (SELECT vec_id, w, CAST(unnest(range(0, w * w)) AS INT) AS at, v FROM l),
-c AS (SELECT vec_id, w, at, CASE WHEN w = 8 THEN v[at + 1] ELSE v[at * 4 + 1] END AS r, CASE WHEN w = 8 THEN v[at + 1] ELSE v[at * 4 + 2] END AS g, CASE WHEN w = 8 THEN v[at + 1] ELSE v[at * 4 + 3] END AS b FROM p),
+p AS (SELECT vec_id, w, CAST(unnest(range(0, w * w)) AS INT) AS i, v FROM l),
+c AS (SELECT vec_id, w, i, CASE WHEN w = 8 THEN v[i + 1] ELSE v[i * 4 + 1] END AS r, CASE WHEN w = 8 THEN v[i + 1] ELSE v[i * 4 + 2] END AS g, CASE WHEN w = 8 THEN v[i + 1] ELSE v[i * 4 + 3] END AS b FROM p),
 n AS (SELECT vec_id, count(*) FILTER (r = 0 AND g = 0 AND b = 0) > count(*) FILTER (r = 255 AND g = 255 AND b = 255) AS dark FROM c GROUP BY 1)
-SELECT vec_id, CAST(w AS INT) AS width, CAST(w AS INT) AS height, at, CASE WHEN dark THEN 255 - r ELSE r END AS r, CASE WHEN dark THEN 255 - g ELSE g END AS g, CASE WHEN dark THEN 255 - b ELSE b END AS b FROM c JOIN n USING (vec_id)""",
+SELECT vec_id, CAST(w AS INT) AS width, CAST(w AS INT) AS height, i AS at, CASE WHEN dark THEN 255 - r ELSE r END AS r, CASE WHEN dark THEN 255 - g ELSE g END AS g, CASE WHEN dark THEN 255 - b ELSE b END AS b FROM c JOIN n USING (vec_id)""",
 }
