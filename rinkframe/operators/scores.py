@@ -14,6 +14,7 @@ from rinkframe.functions.naming import POWER_PLAY, first_teams
 from rinkframe.operators.records import pair
 from rinkframe.operators.sequences import possession
 from rinkframe.session import table
+from rinkframe.sources.pages import page_lines
 
 PAGE = ["doc_id", "page_no"]
 COLORS = ("red", "yellow")
@@ -76,7 +77,7 @@ def teams(pages: DataFrame) -> DataFrame:
 
 def power_plays(pages: DataFrame) -> DataFrame:
     """doc_id, page_no, end_no, as often as the page's lines name it."""
-    lines = pages.select(*PAGE, F.explode(F.split("text", "\n")).alias("line"))
+    lines = page_lines(pages)
     return lines.select(*PAGE, F.explode(F.regexp_extract_all("line", F.lit(POWER_PLAY), F.lit(1))).alias("n")).select(*PAGE, F.col("n").try_cast("int").alias("end_no"))
 
 

@@ -25,6 +25,7 @@ from __future__ import annotations
 import io
 import json
 import re
+import time
 import uuid
 import zipfile
 import zlib
@@ -56,6 +57,19 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
+def remove(system: fs.FileSystem, folder: str, tries: int = 5) -> None:
+    """Deletes a folder; a task that is just being stopped may still be at work in it."""
+    for k in range(tries):
+        if system.get_file_info(folder).type != fs.FileType.Directory:
+            return
+        try:
+            system.delete_dir(folder)
+        except OSError:
+            if k == tries - 1:
+                raise
+            time.sleep(0.2)
+
+
 class Seekable(io.RawIOBase):
     """An Arrow file for zipfile, which expects an OSError where it seeks before the first byte of a short file."""
 
@@ -228,11 +242,15 @@ class Written(WriterCommitMessage):
 class BookWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str], overwrite: bool):
         self.path, self.layer, self.overwrite, self.run = options["path"], options.get("layer", "page_text"), overwrite, uuid.uuid4().hex
+        system, root = file_system(self.path)
+        system.create_dir(self.pending(root), recursive=True)  # here and not in a task: one that is still at work when the run is aborted can't make it again
+
+    def pending(self, root: str) -> str:
+        return f"{root.rstrip('/')}/_pending-{self.run}"
 
     def write(self, rows: Iterator) -> Written:
         system, root = file_system(self.path)
-        folder = f"{root.rstrip('/')}/_pending-{self.run}"
-        system.create_dir(folder, recursive=True)
+        folder = self.pending(root)
         done, book, files = [], None, {}
 
         def close() -> None:
@@ -283,9 +301,7 @@ class BookWriter(DataSourceWriter):
 
     def clear(self) -> None:
         system, root = file_system(self.path)
-        pending = f"{root.rstrip('/')}/_pending-{self.run}"
-        if system.get_file_info(pending).type == fs.FileType.Directory:
-            system.delete_dir(pending)
+        remove(system, self.pending(root))
 
 
 class ResultBook(DataSource):

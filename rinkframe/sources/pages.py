@@ -28,9 +28,10 @@ def pngs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """the lines of each page, numbered from 1, without a trailing empty one."""
-    lines = F.split(F.regexp_replace("text", r"(\r\n|\r|\n)\z", ""), "\r\n|\r|\n")
-    return pages.select("doc_id", "page_no", F.posexplode(lines).alias("at", "line")).select("doc_id", "page_no", (F.col("at") + 1).alias("line_no"), "line")
+    """the lines of each page, numbered from 1. A line ends at any of the line, paragraph, page and record separators of Unicode text, a return with its line feed being one; an empty text, and what is behind the last end, is no line."""
+    end = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+    lines = F.split(F.regexp_replace("text", rf"({end})\z", ""), end)
+    return pages.where("text <> ''").select("doc_id", "page_no", F.posexplode(lines).alias("at", "line")).select("doc_id", "page_no", (F.col("at") + 1).alias("line_no"), "line")
 
 
 def publish(rows: DataFrame, folder: str, event: str) -> None:
