@@ -5,7 +5,7 @@ into the register that the j-th draw of its own permutation names. Registers hav
 than independent minima, and an element stops as soon as j passes the document's largest
 register. All elements of a batch take step j together, in numpy.
 
-Documents with equal shingle sets are one class from the start. Bands of ROWS registers propose
+Documents with equal shingle sets are one class from the start, told by 128-bit digests of their words. Bands of ROWS registers propose
 partners: at a similarity of 0.85 a pair shares no band of 25 with probability 4e-7. In a bucket
 all members are compared with its leader; once the components of those links are known, buckets
 whose members still lie in several components are compared across components. Links inside
@@ -15,7 +15,7 @@ are all tried. Every proposal is confirmed on the full shingle sets, by the word
 In a bucket of more than SMALL members, trying all pairs across components would grow with its
 square. There, members are compared by what differs from their leader: two sets are as far apart
 as their differences from it, so a link needs a known number of shared differences, at least one
-where an end isn't linked with the leader. Differences are indexed in one order, and a pair is met
+where an end isn't linked with the leader. Differences are indexed in one order, the rarest first, and a pair is met
 only where enough places are left on both sides from the shared one on. This is exact, so
 nothing is capped; the index is itself contracted by its own leaders first.
 
@@ -47,8 +47,6 @@ SHINGLE = 5
 BANDS, ROWS = 25, 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Sets of up to so many shingles are told apart by their words.
-FEW = 16
 #: Bytes of texts that are compared with others in one numpy step.
 PAIR_BYTES = 1 << 20
 #: Parts of a hot leader's members.
@@ -57,9 +55,20 @@ SALTS = 8
 SMALL = 48
 
 
-def shingle_sets(column: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
+class DigestedWords(Words):
+    """Words whose hash is the first half of a 128-bit digest (blake2) of their bytes: nobody can choose words that share one."""
+
+    def __init__(self, column: pa.Array):
+        super().__init__(column, LOOKUP)
+        _, first, self.at = np.unique(self.ids(), return_index=True, return_inverse=True)
+        found = b"".join(hashlib.blake2b(self.word(i), digest_size=16).digest() for i in first.tolist())
+        self.digest = np.frombuffer(found, "<u8").reshape(-1, 2)
+        self.hash = self.digest[self.at, 0]
+
+
+def shingle_sets(column: pa.Array | DigestedWords, k: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    w = Words(column, LOOKUP)
+    w = column if isinstance(column, DigestedWords) else DigestedWords(column)
     grams, _ = w.grams(k)
     out = []
     first = w.first.tolist()
@@ -73,25 +82,22 @@ def shingle_sets(column: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def digests(column: pa.Array, sets: list[np.ndarray], k: int = SHINGLE) -> list[bytes | None]:
-    """A digest of each text's set, None if it is empty: of few shingles over their words, of more over their hashes."""
-    w, out = None, []
-    for i, s in enumerate(sets):
-        if not len(s):
-            out.append(None)
-            continue
-        data = s.tobytes()
-        if len(s) <= FEW:
-            w = w or Words(column, LOOKUP)
-            words = [w.word(j) for j in range(w.first[i], w.first[i + 1])]
-            data = b"\0\0".join(sorted({b"\0".join(words[j : j + k]) for j in range(max(1, len(words) - k + 1))}))
-        out.append(hashlib.blake2b(data, digest_size=16).digest())
+def digests(w: DigestedWords, k: int = SHINGLE) -> list[bytes | None]:
+    """A digest of each text's set, None if it is empty: over its distinct shingles in the order of their hashes, as the digests of their words."""
+    grams, out, first = w.grams(k)[0], [], w.first.tolist()
+    for a, b in zip(first, first[1:], strict=False):
+        if b - a >= k:
+            start = a + np.unique(grams[a : b - k + 1], return_index=True)[1]
+            data = b"".join(w.digest[w.at[start + j]].tobytes() for j in range(k))
+        else:
+            data = w.digest[w.at[a:b]].tobytes()
+        out.append(hashlib.blake2b(data, digest_size=16, salt=(b - a if b - a < k else k).to_bytes(2, "little")).digest() if b > a else None)
     return out
 
 
 def pair_sets(left: pa.Array, right: pa.Array, k: int = SHINGLE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Of each pair of texts the shingles as numbers that are equal for equal words alone (sorted, distinct), and their hashes: x, y, hashes of x, hashes of y."""
-    w = Words(pa.concat_arrays([left, right]), LOOKUP)
+    w = DigestedWords(pa.concat_arrays([left, right]))
     codes, hashes = w.gram_ids(k), w.grams(k)[0]
     short: dict[bytes, int] = {}
 
@@ -154,13 +160,14 @@ def signatures(documents: DataFrame, id_col: str, text_col: str, shingle: int, b
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
-            sets = shingle_sets(batch.column("text"), shingle)
+            words = DigestedWords(batch.column("text"))
+            sets = shingle_sets(words, shingle)
             keys = band_keys(superminhash(sets, bands * rows), bands, rows)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
                     pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array(digests(batch.column("text"), sets, shingle), pa.binary()),
+                    pa.array(digests(words, shingle), pa.binary()),
                     pa.array([k if len(x) else None for k, x in zip(keys, sets, strict=True)], pa.list_(pa.int64())),
                 ],
                 ["id", "n", "cls", "keys"],
@@ -225,7 +232,7 @@ def _against_leader(rest: DataFrame, texts: DataFrame, shingle: int, percent: in
     """Members of large buckets: leader, id, n, root, slack, linked (with the leader), diff.
 
     Buckets that share members have one leader, so each member has one row. diff: keys of the shingles that only one of the member and its leader has, in one order for all
-    members of a leader (the member's own first). slack: (100 + percent) * |diff| - (100 - percent) * n;
+    members of a leader. slack: (100 + percent) * |diff| - (100 - percent) * n;
     two members can only be linked if 2 * (100 + percent) times what their diffs share is no less than the sum of their slacks.
     """
 
@@ -254,6 +261,14 @@ def _spread(rows: DataFrame, of_leader: DataFrame) -> DataFrame:
     return rows.withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["leader", "__salt"]).drop("__salt")
 
 
+def _rare_first(large: DataFrame) -> DataFrame:
+    """large with each diff in the order of how many of the leader's members have a place, the rarest first: what very many share comes behind the places that a link must share, and proposes nothing."""
+    each = large.select("id", F.explode("diff").alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "key")))["key"]
+    return large.drop("diff").join(each.join(often, "key", "left").groupBy("id").agg(order.alias("diff")), "id", "left").withColumn("diff", F.coalesce("diff", F.array().cast("array<bigint>")))
+
+
 def _enough(left, slacks, percent: int):
     """Whether so many shared places of two diffs can make a link."""
     return left * (2 * (100 + percent)) >= slacks
@@ -314,7 +329,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     more = verify(_across(rest.where(F.col("size") <= SMALL), percent))
     if not rest.where(F.col("size") > SMALL).isEmpty():
         large = checkpointed(_against_leader(rest.where(F.col("size") > SMALL), texts, shingle, percent))
-        second, stars = _difference_stars(_by_difference(large, percent), percent)
+        second, stars = _difference_stars(_by_difference(_rare_first(large), percent), percent)
         roots = connected_components(_edges(roots).union(verify(stars)).union(large.where("linked and id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))))
         more = more.union(verify(_difference_pairs(second, roots, percent)))
     if not more.isEmpty():
