@@ -43,6 +43,8 @@ SILENT = frozenset("script style noscript template svg iframe head title textare
 HEAD = frozenset("head html title base link meta style script noscript template".split())
 #: Of those, tags whose content isn't markup either.
 RAW = frozenset("script style textarea title iframe".split())
+#: A comment ends at once, or with one of two marks.
+COMMENT, COMMENT_END = re.compile("-?>"), re.compile("--!?>")
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[a-z]+")
@@ -141,8 +143,8 @@ def blocks(page: str | None) -> list[Block]:
         if at > place:
             say(page[place:at])
         if page.startswith("<!--", at):
-            end = page.find("-->", at + 4)
-            place = n if end < 0 else end + 3
+            end = COMMENT.match(page, at + 4) or COMMENT_END.search(page, at + 4)
+            place = n if end is None else end.end()
             continue
         if page.startswith(("<!", "<?"), at):
             end = page.find(">", at)

@@ -46,6 +46,7 @@ def test_language_gradients():
 def test_html_blocks():
     page = "<html><head><title>no</title><script>var t='</p>';</script></head><body><p>a &amp; b<br>c <b>d</b><p>e\n  f</p><!-- x --><ul><li>g<li>h</ul>tail < 3</body>"
     assert [b.text for b in html_text.blocks(page)] == ["a & b c d", "e f", "g", "h", "tail < 3"]
+    assert [b.text for b in html_text.blocks("<p>one<!-->two</p><p>three</p><!---><p>x<!-- > -- -->y</p><!-- a --!><p>b</p><!----><p>c<!-- never closed <p>d")] == ["onetwo", "three", "xy", "b", "c"]
     assert [b.text for b in html_text.blocks("plain")] == ["plain"]
     for odd, want in (
         ("<head><title>t</title><p>text", ["text"]),
