@@ -33,13 +33,28 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?"
 MIN_LENGTH, FDR, BINS = 24, 0.01, 100
 SPAN = "array<struct<start:int,stop:int,text:string>>"
+#: Values that one step of a sum over an array takes together; 128 * 128 make a long text's spans cheap.
+BLOCK = 128
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often body uses it, also in lambdas of its own."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def blocks(values: Column, of) -> Column:
+    """of(block) for consecutive blocks of BLOCK values: what grows an array step by step copies a block at most."""
+    return let(values, lambda v: F.transform(F.when(F.size(v) > 0, F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>")), lambda b: of(F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))))
 
 
 def spans(text: Column, pattern: str, keep) -> Column:
-    """start, stop (code points, end exclusive) and text of the leftmost non-overlapping matches for which keep(match) holds."""
+    """start, stop (code points, end exclusive) and text of the leftmost non-overlapping matches for which keep(match) holds.
+
+    Positions are sums of the lengths before: summed within blocks, then over blocks.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
+    none = F.expr(f"cast(array() as {SPAN})")
     parts = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m"), F.length(m).alias("n")))
     parts = F.filter(parts, lambda p: p["m"].isNotNull())
 
@@ -48,7 +63,13 @@ def spans(text: Column, pattern: str, keep) -> Column:
         one = F.struct(a.alias("start"), (a + p["n"]).alias("stop"), p["m"].alias("text"))
         return F.struct((a + p["n"]).alias("at"), F.when(keep(p["m"]), F.concat(s["out"], F.array(one))).otherwise(s["out"]).alias("out"))
 
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(parts, zero, add, lambda s: s["out"])).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    def placed(of: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        before = F.aggregate(of, first, lambda s, b: F.struct((s["at"] + b["at"]).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+        return F.flatten(F.zip_with(of, before, lambda b, o: F.transform(b["out"], lambda t: F.struct((t["start"] + o).alias("start"), (t["stop"] + o).alias("stop"), t["text"].alias("text")))))
+
+    each = blocks(parts, lambda block: F.aggregate(block, F.struct(F.lit(0).alias("at"), none.alias("out")), add))
+    return F.when(F.regexp_like(text, F.lit(pattern)), let(each, placed)).otherwise(none)
 
 
 def two_sided(z: Column) -> Column:
@@ -109,8 +130,13 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     base = documents.select(id_col, *keep, row.alias("__row"), *kinds)
     runs = spans(text, TOKEN, lambda m: (F.length(m) >= MIN_LENGTH) & m.rlike("[A-Za-z]"))
     found = documents.where(text.rlike(TOKEN)).select(row.alias("row"), *kinds, runs.alias("tokens"))
-    free = F.filter("tokens", lambda t: ~F.exists(F.concat("assign", "access", "hex"), lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
-    tokens = checkpointed(found.select("row", F.explode(free).alias("t")))
+    # a run is free if no base span of its row reaches into it: of those that begin before its end, the one that ends last
+    each = F.concat(F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), t.alias("t"))), F.transform(F.concat("assign", "access", "hex"), lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), F.lit(None).alias("t"))))
+    w = Window.partitionBy("row").orderBy("start", F.col("t").isNotNull())
+    base_stop, base_start = F.when(F.col("t").isNull(), F.col("stop")), F.when(F.col("t").isNull(), F.col("start"))
+    placed = found.where(F.size("tokens") > 0).select("row", F.explode(F.array_distinct(each)).alias("x")).distinct().select("row", "x.*")
+    placed = placed.withColumn("before", F.max(base_stop).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("after", F.min(base_start).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    tokens = checkpointed(placed.where("t is not null and (before is null or before <= start) and (after is null or after >= stop)").select("row", "t"))
     distinct = tokens.select(F.col("t.text").alias("token")).distinct()
     scored = _scored(distinct).select("token", "p", F.least(F.floor(F.log2("n")), F.lit(12)).alias("size"), F.floor(F.log10("p") * -BINS).alias("bin"))
     # Benjamini-Hochberg from counts: p is over 1e-198, so at most 13 * 198 * BINS rows whatever the input
@@ -144,14 +170,21 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redacted(text: Column, kinds: list[str], mark: str = "[SECRET]") -> Column:
-    """text with every span of the columns `kinds` replaced; overlapping spans become one mark."""
+    """text with every span of the columns `kinds` replaced; overlapping spans become one mark. A text with spans is taken apart into its characters once; its pieces are joined at the end."""
     ordered = F.array_sort(F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))) for k in kinds]))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    none = F.array().cast("array<struct<start:int,stop:int>>")
 
     def add(s: Column, x: Column) -> Column:
-        between = F.substr(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
-        out = F.when(x["start"] >= s["at"], F.concat(s["out"], between, F.lit(mark))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], x["stop"]).alias("at"), out.alias("out"))
-
-    done = F.aggregate(ordered, zero, add, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(ordered) > 0, done).otherwise(text)
+        """What remains of a span behind those before it; nothing is left of one that begins within them."""
+        apart = F.struct(s["at"].alias("start"), x["start"].alias("stop"))
+        return F.struct(F.greatest(s["at"], x["stop"]).alias("at"), F.when(x["start"] >= s["at"], F.concat(s["out"], F.array(apart))).otherwise(s["out"]).alias("out"))
+
+    def joined(of: Column) -> Column:
+        """of: the blocks of spans. Each block goes on where the furthest of those before it ends."""
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(of, first, lambda s, b: F.struct(F.greatest(s["at"], F.array_max(F.transform(b, lambda x: x["stop"]))).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))
+        kept = lambda r: F.flatten(F.zip_with(of, r["out"], lambda b, at: F.aggregate(b, F.struct(at.alias("at"), none.alias("out")), add, lambda s: s["out"])))
+        whole = lambda chars, r: F.concat(F.array_join(F.transform(kept(r), lambda g: F.concat(F.array_join(F.slice(chars, g["start"] + 1, g["stop"] - g["start"]), ""), F.lit(mark))), ""), F.array_join(F.slice(chars, r["at"] + 1, F.size(chars)), ""))
+        return let(F.split(text, ""), lambda chars: let(starts, lambda r: whole(chars, r)))
+
+    return F.when(F.size(ordered) > 0, let(blocks(ordered, lambda b: b), joined)).otherwise(text)
