@@ -26,10 +26,10 @@ def color(side: Column) -> Column:
 
 
 def pick_table(cells: DataFrame) -> DataFrame:
-    """Of each page the cells of its first table with a cell that is exactly `*`, else those of its last."""
-    marked = cells.groupBy(*PAGE, "table_no").agg(F.bool_or(F.coalesce(F.col("cell") == "*", F.lit(False))).alias("marked"))
-    chosen = marked.groupBy(*PAGE).agg(F.coalesce(F.min(F.when(F.col("marked"), F.col("table_no"))), F.max("table_no")).alias("table_no"))
-    return cells.join(chosen, [*PAGE, "table_no"])
+    """Of each page the cells of its first table with a cell that is exactly `*`, else those of its last. One shuffle by page, which what follows shares."""
+    page = W.partitionBy(*PAGE)
+    chosen = F.coalesce(F.min(F.when(F.col("cell") == "*", F.col("table_no"))).over(page), F.max("table_no").over(page))
+    return cells.withColumn("__chosen", chosen).where("table_no = __chosen").drop("__chosen")
 
 
 def long_scores(cells: DataFrame) -> DataFrame:
@@ -56,17 +56,25 @@ def score_lines(long: DataFrame) -> DataFrame:
     return lines.select(*PAGE, "start", "played", red.alias("final_red"), yellow.alias("final_yellow"))
 
 
-def ends(long: DataFrame, lines: DataFrame, mixed: DataFrame) -> DataFrame:
-    """doc_id, page_no, end_no, hammer (side), score_red, score_yellow (both or neither). mixed: (doc_id, is_mixed), where a blank end passes the last stone on.
+def ends(long: DataFrame, lines: DataFrame | None, mixed: DataFrame) -> DataFrame:
+    """doc_id, page_no, end_no, hammer (side), score_red, score_yellow (both or neither). mixed: (doc_id, is_mixed), where a blank end passes the last stone on. lines: score_lines(long) if it is at hand; without it, start and played ends come from long itself, in the shuffle by page that it has.
 
     P8: a game has max(1, played) ends, and stops after the first whose cells aren't both digits; none without a start.
     """
     side = lambda k: F.max(F.when(F.col("side") == k, F.col("cell")))
-    wide = long.where("place > 0 and place < last").groupBy(*PAGE, F.col("place").alias("end_no")).agg(side(0).alias("a"), side(1).alias("b"))
-    rounds = wide.join(lines.select(*PAGE, "start", "played"), PAGE).where(F.col("end_no") <= F.greatest(F.col("played"), F.lit(1))).join(mixed, "doc_id")
-    both = [possession(rounds.where(F.col("is_mixed") == kind), PAGE, ["end_no"], "a", "b", "start", alternate=kind) for kind in (False, True)]
+    inner = (F.col("place") > 0) & (F.col("place") < F.col("last"))
+    if lines is None:
+        page = W.partitionBy(*PAGE)
+        start = F.min(F.when((F.col("place") == 0) & F.col("cell").contains("*"), F.col("side"))).over(page)
+        played = F.size(F.collect_set(F.when(inner & (F.col("cell") != ""), F.col("place"))).over(page))
+        long = long.withColumn("start", start).withColumn("played", played)
+        wide = long.where(inner).groupBy(*PAGE, F.col("place").alias("end_no")).agg(side(0).alias("a"), side(1).alias("b"), F.first("start").alias("start"), F.first("played").alias("played"))
+    else:
+        wide = long.where(inner).groupBy(*PAGE, F.col("place").alias("end_no")).agg(side(0).alias("a"), side(1).alias("b")).join(lines.select(*PAGE, "start", "played"), PAGE)
+    rounds = wide.where(F.col("end_no") <= F.greatest(F.col("played"), F.lit(1))).join(mixed, "doc_id")
     red, yellow = pair(F.col("a"), F.col("b"))
-    return both[0].unionByName(both[1]).select(*PAGE, "end_no", "hammer", red.alias("score_red"), yellow.alias("score_yellow"))
+    held = possession(rounds, PAGE, ["end_no"], "a", "b", "start", alternate=F.coalesce("is_mixed", F.lit(False)))
+    return held.select(*PAGE, "end_no", "hammer", red.alias("score_red"), yellow.alias("score_yellow"))
 
 
 def teams(pages: DataFrame) -> DataFrame:
@@ -93,8 +101,9 @@ def stand_in_cells(spark, d):
     return e.withColumn("cell", cell)
 
 
-def _mixed(long):
-    return long.select("doc_id", (F.col("doc_id").cast("int") % 2 == 0).alias("is_mixed")).distinct()
+def _mixed(spark, d):
+    docs = table(spark, d, "events").where("event_type = 'signup'").select(F.col("user_id").cast("string").alias("doc_id")).distinct()
+    return docs.select("doc_id", (F.col("doc_id").cast("int") % 2 == 0).alias("is_mixed"))
 
 
 def q_score_table_cells(spark, d):
@@ -107,7 +116,7 @@ def q_score_lines(spark, d):
 
 def q_score_ends(spark, d):
     long = long_scores(pick_table(stand_in_cells(spark, d)))
-    return ends(long, score_lines(long), _mixed(long))
+    return ends(long, None, _mixed(spark, d))
 
 
 def q_power_play_lines(spark, d):

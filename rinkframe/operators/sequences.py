@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from rinkframe.session import table
@@ -16,8 +16,8 @@ def page_sequence(pages: DataFrame, doc: str, order: list[str], is_game, is_deta
     return seq.withColumn("end_no", F.sum(is_detail.cast("int")).over(within))
 
 
-def possession(rounds: DataFrame, by: list[str], order: list[str], a: str, b: str, start: str, alternate: bool = False) -> DataFrame:
-    """The side that has the last stone. The scorer's opponent gets it next; a blank (equal digits) keeps it, or passes it on if `alternate`.
+def possession(rounds: DataFrame, by: list[str], order: list[str], a: str, b: str, start: str, alternate: bool | Column = False) -> DataFrame:
+    """The side that has the last stone. The scorer's opponent gets it next; a blank (equal digits) keeps it, or passes it on if `alternate` (for all, or by a column that is constant in a group).
 
     F15: after a round whose scores aren't both digits nobody is known to have it, so the rounds after the first such go; so do groups without a start.
     """
@@ -28,13 +28,14 @@ def possession(rounds: DataFrame, by: list[str], order: list[str], a: str, b: st
     x, y = F.col(a).try_cast("long"), F.col(b).try_cast("long")
     won = F.when(x > y, 1).when(x < y, 0)
     base = F.coalesce(F.last(won, ignorenulls=True).over(before), F.col(start))
-    if not alternate:
+    if alternate is False:
         return rounds.withColumn("hammer", base.cast("int"))
     island = rounds.withColumn("__island", F.coalesce(F.sum(won.isNotNull().cast("int")).over(before), F.lit(0))).withColumn("__base", base)
     blank = W.partitionBy(*by, "__island").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     # the decisive round itself closes the island before it
     n = F.coalesce(F.sum(won.isNull().cast("int")).over(blank), F.lit(0))
-    return island.withColumn("hammer", ((F.col("__base") + n) % 2).cast("int")).drop("__island", "__base")
+    passed = (F.col("__base") + n) % 2
+    return island.withColumn("hammer", (passed if alternate is True else F.when(alternate, passed).otherwise(F.col("__base"))).cast("int")).drop("__island", "__base")
 
 
 def whole_pages_until(pages: DataFrame, order: list[str], n: str, budget: int, by: list[str] | None = None, width: int = 100_000) -> DataFrame:

@@ -25,26 +25,29 @@ def missing_slots(images: DataFrame, layout: tuple[int, ...] = (0, 0, 4), row_de
     """doc_id, page_no, x0, y0, x1, y1 of the grid places of a page that have no image.
 
     layout: how many places each row has from the left (0: all). A missing box has the size of the first image in its row, as far as y0 rounded to row_decimals says so, else of the page's first.
+    A page's images meet once, as an array, and all the rest is done on it; among images of one xref the smallest place is the first.
     """
-    points = images.select(*PAGE, F.round("x0", 4).alias("x"), F.round("y0", 4).alias("y")).distinct()
-    ranked = lambda c: points.select(*PAGE, c).distinct().withColumn(f"r{c}", F.row_number().over(W.partitionBy(*PAGE).orderBy(c)))
-    room = F.element_at(F.array(*map(F.lit, layout)), F.col("ry"))
-    rows = ranked("y").where(F.col("ry") <= len(layout)).withColumn("room", room)
-    expected = ranked("x").join(rows, PAGE).where("room = 0 or rx <= room")
-    gone = expected.join(points, [*PAGE, "x", "y"], "left_anti").select(*PAGE, "x", "y")
     size = F.struct((F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"))
-    of_page = images.groupBy(*PAGE).agg(F.min_by(size, "xref").alias("first"))
-    of_row = images.groupBy(*PAGE, F.round("y0", row_decimals).alias("y")).agg(F.min_by(size, "xref").alias("own"))
-    sized = gone.join(of_page, PAGE).join(of_row, [*PAGE, "y"], "left").withColumn("s", F.coalesce("own", "first"))
+    image = F.struct(F.col("xref").isNull().alias("last"), "xref", F.round("x0", 4).alias("x"), F.round("y0", 4).alias("y"), F.round("y0", row_decimals).alias("row"), size.alias("size"))
+    pages = images.where("x0 is not null and y0 is not null").groupBy(*PAGE).agg(F.array_sort(F.collect_list(image)).alias("images"))
+    distinct = lambda c: F.array_sort(F.array_distinct(F.transform("images", lambda i: i[c])))
+    place = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    pages = pages.select(*PAGE, "images", distinct("x").alias("xs"), F.slice(distinct("y"), 1, len(layout)).alias("ys"))
+    room = lambda i: F.element_at(F.array(*map(F.lit, layout)), i + 1)
+    row = lambda y, i: F.transform(F.when(room(i) == 0, F.col("xs")).otherwise(F.slice("xs", F.lit(1), room(i))), lambda x: place(x, y))
+    gone = F.array_except(F.flatten(F.transform("ys", row)), F.transform("images", lambda i: place(i["x"], i["y"])))
+    each = pages.select(*PAGE, "images", F.explode(gone).alias("g"))
+    own = F.get(F.filter("images", lambda i: i["row"] == F.col("g.y")), F.lit(0))["size"]
+    sized = each.select(*PAGE, "g.x", "g.y", F.coalesce(own, F.get("images", F.lit(0))["size"]).alias("s"))
     return sized.select(*PAGE, F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("s.w")).alias("x1"), (F.col("y") + F.col("s.h")).alias("y1"))
 
 
 def recovered(missing: DataFrame, images: DataFrame, records: DataFrame) -> DataFrame:
-    """Of each page's missing boxes the first (by y0, x0) that its records ask for beyond its images. records: a row for each record. F13: with the box in pixels of a page drawn at SCALE."""
-    n = lambda df, name: df.groupBy(*PAGE).agg(F.count("*").alias(name))
-    short = n(records, "n_records").join(n(images, "n_images"), PAGE).withColumn("k", F.col("n_records") - F.col("n_images")).where("k > 0")
+    """Of each page's missing boxes the first (by y0, x0) that its records ask for beyond its images. records: a row for each record. F13: with the box in pixels of a page drawn at SCALE. A page without an image has no grid, and none is recovered."""
+    one = lambda df, a, b: df.groupBy(*PAGE).agg(F.count("*").alias("n")).select(*PAGE, (F.col("n") * a).alias("more"), F.lit(b).alias("shown"))
+    short = one(records, 1, 0).unionByName(one(images, -1, 1)).groupBy(*PAGE).agg(F.sum("more").alias("k"), F.max("shown").alias("shown")).where("k > 0 and shown = 1").select(*PAGE, "k")
     place = F.row_number().over(W.partitionBy(*PAGE).orderBy("y0", "x0"))
-    kept = missing.join(short.select(*PAGE, "k"), PAGE).withColumn("n", place).where("n <= k")
+    kept = missing.join(short, PAGE).withColumn("n", place).where("n <= k")
     return kept.select(*PAGE, "x0", "y0", "x1", "y1", *((F.col(c) * SCALE).cast("int").alias(f"p{c}") for c in ("x0", "y0", "x1", "y1")))
 
 
