@@ -65,6 +65,16 @@ def q_record_parse(spark, d):
     return got.select("event_id", F.col("length").cast("int").alias("length"))
 
 
+def q_shot_records(spark, d):
+    """Each user's events as lines of text (scores, turns, players and others by arithmetic on event_id), parsed to shot records."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    score = F.when(k % 5 == 0, "-").otherwise(F.concat((k % 101).cast("string"), F.lit("%")))
+    player = F.concat(F.element_at(F.array(F.lit("CAN"), F.lit("SUI"), F.lit("NOR")), (k % 3 + 1).cast("int")), F.lit(": P "), k.cast("string"), F.when(k % 7 == 0, ": X").otherwise(""))
+    line = F.when(kind == "click", score).when(kind == "purchase", F.when(k % 2 == 0, "↺").otherwise("↻")).when(kind == "error", player).otherwise(F.concat(kind, F.lit(" "), (k % 4).cast("string")))
+    lines = table(spark, d, "events").select("user_id", "ts", "event_id", line.alias("line")).withColumn("line_no", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")))
+    return shots(lines, ["user_id"], "line_no", "line")
+
+
 def q_gap_topk(spark, d):
     """O2: the first k of each group, where k comes from the group's own count."""
     w = W.partitionBy("p_type")
@@ -113,6 +123,13 @@ ORACLE_SQL = {
 k AS (SELECT event_id, user_id, n, CASE WHEN a = 'click' AND b = 'purchase' AND c = 'error' THEN 4 WHEN a = 'click' AND b = 'error' THEN 3 ELSE 0 END AS size FROM l),
 scan AS (SELECT user_id, n, event_id, size FROM k WHERE n = 1 UNION ALL SELECT k.user_id, k.n, k.event_id, k.size FROM scan s JOIN k ON k.user_id = s.user_id AND k.n = s.n + greatest(s.size, 1))
 SELECT event_id, CAST(size AS INT) AS length FROM scan WHERE size > 0""",
+    "shot_records": """WITH RECURSIVE t AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'click' THEN CASE WHEN event_id % 5 = 0 THEN '-' ELSE (event_id % 101) || '%' END WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN '↺' ELSE '↻' END
+ WHEN 'error' THEN ['CAN', 'SUI', 'NOR'][event_id % 3 + 1] || ': P ' || event_id || CASE WHEN event_id % 7 = 0 THEN ': X' ELSE '' END ELSE event_type || ' ' || (event_id % 4) END AS t, event_type AS k FROM events),
+l AS (SELECT user_id, t, row_number() OVER w AS n, lead(k, 1) OVER w AS a, lead(k, 2) OVER w AS b, lead(k, 3) OVER w AS c, lead(t, 1) OVER w AS ta, lead(t, 2) OVER w AS tb, lead(t, 3) OVER w AS tc FROM t WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+k AS (SELECT *, CASE WHEN a = 'click' AND b = 'purchase' AND c = 'error' THEN 4 WHEN a = 'click' AND b = 'error' THEN 3 ELSE 0 END AS size FROM l),
+scan AS (SELECT user_id, n, size FROM k WHERE n = 1 UNION ALL SELECT k.user_id, k.n, k.size FROM scan s JOIN k ON k.user_id = s.user_id AND k.n = s.n + greatest(s.size, 1)),
+r AS (SELECT k.*, CASE WHEN k.size = 4 THEN tc ELSE tb END AS p FROM scan JOIN k USING (user_id, n) WHERE scan.size > 0)
+SELECT user_id, CAST(n AS INT) AS line_no, t AS type, TRY_CAST(rtrim(ta, '%') AS INT) AS score, CASE WHEN size = 4 THEN CASE WHEN tb = '↻' THEN 'cw' ELSE 'ccw' END END AS turn, split_part(p, ': ', 1) AS team, substr(p, 6) AS player, CAST(len(string_split(p, ': ')) AS INT) AS parts FROM r""",
     "gap_topk": "SELECT p_type, p_partkey, n FROM (SELECT *, count(*) OVER (PARTITION BY p_type) % 7 + 1 AS k, row_number() OVER (PARTITION BY p_type ORDER BY p_size, p_partkey) AS n FROM part) WHERE n <= k",
     "score_table_pick": "SELECT l_orderkey, CAST(coalesce(min(CASE WHEN l_returnflag = 'R' THEN l_linenumber END), max(l_linenumber)) AS BIGINT) AS table_no FROM lineitem GROUP BY 1",
     "page_backfill": "SELECT o_orderkey, (SELECT CAST(min(l_linenumber) AS BIGINT) FROM lineitem WHERE l_orderkey = o_orderkey) AS page FROM orders",
