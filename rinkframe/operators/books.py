@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from rinkframe.operators.scores import pick_table, power_plays
 from rinkframe.session import table
 
 # What the lines of a shot look like.
@@ -83,10 +84,9 @@ def q_gap_topk(spark, d):
 
 
 def q_score_table_pick(spark, d):
-    """P5: the first table that has a marker cell, else the last."""
-    tables = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.bool_or(F.col("l_returnflag") == "R").alias("marked"))
-    pick = F.coalesce(F.min(F.when(F.col("marked"), F.col("l_linenumber"))), F.max("l_linenumber"))
-    return tables.groupBy("l_orderkey").agg(pick.cast("long").alias("table_no"))
+    """P5: the first table that has a marker cell, else the last; orders are pages and their lines cells."""
+    cells = table(spark, d, "lineitem").select(F.lit("b").alias("doc_id"), F.col("l_orderkey").alias("page_no"), F.col("l_linenumber").alias("table_no"), F.when(F.col("l_returnflag") == "R", "*").alias("cell"))
+    return pick_table(cells).groupBy(F.col("page_no").alias("l_orderkey")).agg(F.max("table_no").cast("long").alias("table_no"))
 
 
 def q_page_backfill(spark, d):
@@ -101,11 +101,12 @@ def q_surrogate_keys(spark, d):
 
 
 def q_flag_ends(spark, d):
-    """The ends that a text names as power plays, as a flag of each end."""
+    """The ends that a page's text names as power plays, as a flag of each end; nations are pages."""
     text = F.concat(F.lit("Power Play: End "), (F.col("n_nationkey") % 8 + 1).cast("string"), F.lit("   power play:  end "), (F.col("n_regionkey") + 1).cast("string"))
-    ends = F.regexp_extract_all(text, F.lit(r"(?i)power play:\s*end\s+([0-9]+)"), F.lit(1))
-    rows = table(spark, d, "nation").select("n_nationkey", ends.alias("ends"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("end_no"))
-    return rows.select("n_nationkey", "end_no", F.array_contains("ends", F.col("end_no").cast("string")).cast("int").alias("power_play"))
+    nations = table(spark, d, "nation")
+    named = power_plays(nations.select(F.lit("b").alias("doc_id"), F.col("n_nationkey").alias("page_no"), text.alias("text"))).distinct().select(F.col("page_no").alias("n_nationkey"), "end_no", F.lit(1).alias("power_play"))
+    ends = nations.select("n_nationkey", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("end_no"))
+    return ends.join(named, ["n_nationkey", "end_no"], "left").withColumn("power_play", F.coalesce("power_play", F.lit(0)))
 
 
 def q_run_outcomes(spark, d):

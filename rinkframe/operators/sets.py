@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from rinkframe.operators.slots import missing_slots
 from rinkframe.session import table
 
 
@@ -60,9 +61,12 @@ def q_size_filter(spark, d):
 
 
 def q_grid_gaps(spark, d):
-    """The expected grid (distinct xs times distinct ys) without what is there."""
-    p = table(spark, d, "part").select("p_size", "p_brand").distinct()
-    return p.select("p_size").distinct().crossJoin(p.select("p_brand").distinct()).join(p, ["p_size", "p_brand"], "left_anti")
+    """The places of one page's grid (sizes times brands) that nothing is at."""
+    p = table(spark, d, "part").select("p_size", F.regexp_extract("p_brand", "[0-9]+", 0).cast("int").alias("brand")).distinct()
+    x, y = F.col("brand").cast("double"), F.col("p_size").cast("double")
+    points = p.select(F.lit("p").alias("doc_id"), F.lit(1).alias("page_no"), F.lit(1).alias("xref"), x.alias("x0"), y.alias("y0"), x.alias("x1"), y.alias("y1"))
+    gone = missing_slots(points, layout=(0,) * 64)
+    return gone.select(F.col("y0").cast(table(spark, d, "part").schema["p_size"].dataType).alias("p_size"), F.concat(F.lit("Brand#"), F.col("x0").cast("int").cast("string")).alias("p_brand"))
 
 
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
