@@ -31,3 +31,26 @@ def test_random_spans_of_null_and_shared_ids(spark):
     rows = [(None, f"a {keys[0]}"), (5, f"b {keys[0]}"), (5, f"longer text {keys[1]}"), (5, "nothing"), (5, f"b {keys[0]}")]
     got = corpus_pipeline.redact_secrets(spark, documents(spark, rows), "").collect()
     assert sorted(r.text for r in got) == ["a [SECRET]", "b [SECRET]", "b [SECRET]", "longer text [SECRET]", "nothing"]
+
+
+def test_the_whole_pipeline_on_odd_rows_and_empty_tables(spark, tmp_path):
+    """What a plain reading of the stages keeps: no toxic labels, so nothing goes there; one of each group of copies; no benchmark passage; secrets redacted; tokens that decode to the text."""
+    prose = lambda x, n=60: " ".join(f"{x}{j}" for j in range(n))
+    passage = prose("bench", 30)
+    rows = [(1, prose("a")), (2, prose("a") + " end"), (3, prose("b")), (4, f"{prose('c')} {passage}"), (5, f"{prose('d')} password = hunter2xyz9 bye"), (6, None), (7, ""), (3, prose("e")), (8, prose("long", 20_000)), (None, prose("f"))]
+    tables = {"documents": documents(spark, rows), "benchmark": spark.createDataFrame([(1, passage), (2, None)], "item_id long, text string"), "labels": spark.createDataFrame([(1, 1, 0), (3, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")}
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/full/{name}.parquet")
+        df.limit(0).write.parquet(f"{tmp_path}/empty/{name}.parquet")
+    got = sorted((r.doc_id or 0, bytes(encoding().decode_bytes(r.ids)).decode(), r.n_tokens == len(r.ids)) for r in corpus_pipeline.run(spark, f"{tmp_path}/full").collect())
+    want = [(0, prose("f")), (1, prose("a")), (3, prose("b")), (3, prose("e")), (5, f"{prose('d')} [SECRET] bye"), (6, ""), (7, ""), (8, prose("long", 20_000))]
+    assert got == [(*w, True) for w in want]
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
+
+
+def encoding():
+    import public_tokenizers
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    return tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
