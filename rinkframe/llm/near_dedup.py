@@ -51,6 +51,8 @@ PERCENT = 85
 PAIR_BYTES = 1 << 20
 #: Parts of a hot leader's members.
 SALTS = 8
+#: Places of a share of a leader's members are frequent.
+SHARE = 1 / 16
 #: In buckets of up to so many members, pairs across components are tried as they are.
 SMALL = 48
 
@@ -83,15 +85,18 @@ def shingle_sets(column: pa.Array | DigestedWords, k: int = SHINGLE) -> list[np.
 
 
 def digests(w: DigestedWords, k: int = SHINGLE) -> list[bytes | None]:
-    """A digest of each text's set, None if it is empty: over its distinct shingles in the order of their hashes, as the digests of their words."""
-    grams, out, first = w.grams(k)[0], [], w.first.tolist()
+    """A digest of each text's set, None if it is empty: over its distinct shingles in the order of their hashes, each as two hashes of 64 bits, from either half of its words' digests."""
+    hashes, out, first = w.grams(k)[0], [], w.first.tolist()
+    w.hash = w.digest[w.at, 1]
+    others = w.grams(k)[0]
+    w.hash = w.digest[w.at, 0]
     for a, b in zip(first, first[1:], strict=False):
         if b - a >= k:
-            start = a + np.unique(grams[a : b - k + 1], return_index=True)[1]
-            data = b"".join(w.digest[w.at[start + j]].tobytes() for j in range(k))
+            own, start = np.unique(hashes[a : b - k + 1], return_index=True)
+            data = own.tobytes() + others[a + start].tobytes()
         else:
             data = w.digest[w.at[a:b]].tobytes()
-        out.append(hashlib.blake2b(data, digest_size=16, salt=(b - a if b - a < k else k).to_bytes(2, "little")).digest() if b > a else None)
+        out.append(hashlib.blake2b(data, digest_size=16, salt=min(b - a, k).to_bytes(2, "little")).digest() if b > a else None)
     return out
 
 
@@ -262,11 +267,31 @@ def _spread(rows: DataFrame, of_leader: DataFrame) -> DataFrame:
 
 
 def _rare_first(large: DataFrame) -> DataFrame:
-    """large with each diff in the order of how many of the leader's members have a place, the rarest first: what very many share comes behind the places that a link must share, and proposes nothing."""
-    each = large.select("id", F.explode("diff").alias("key"))
-    often = each.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
-    order = F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "key")))["key"]
-    return large.drop("diff").join(each.join(often, "key", "left").groupBy("id").agg(order.alias("diff")), "id", "left").withColumn("diff", F.coalesce("diff", F.array().cast("array<bigint>")))
+    """large with each diff in an order, the same for all of a leader's members, that has at its end what many of them have (the most frequent last): a passage that very many share comes behind the
+    places that a link must share, and proposes nothing.
+
+    Which places are frequent is counted batch by batch: those of a SHARE of the leader's members there. So only frequent ones become rows, and of a leader's members no more than 2 / SHARE times the places of one
+    come together. Any order is right; this one keeps proposals few.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaders, at = np.unique(batch.column("leader").to_numpy(), return_inverse=True)
+            for i, leader in enumerate(leaders.tolist()):
+                mine = np.flatnonzero(at == i)
+                keys, n = np.unique(batch.column("diff").take(pa.array(mine)).flatten().to_numpy(), return_counts=True)
+                often = n >= max(2, len(mine) * SHARE)
+                size = int(often.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, leader)), pa.array(keys[often]), pa.array(n[often])], ["leader", "key", "often"])
+
+    members = large.where("id <> leader")
+    counted = arrow_map(members.select("leader", "diff"), run, "leader long, key long, often long").groupBy("leader", "key").agg(F.sum("often").alias("often"))
+    sizes = members.groupBy("leader").agg(F.count("*").alias("size"))
+    kept = counted.join(sizes, "leader").where(F.col("often") * 2 >= F.col("size") * SHARE)
+    frequent = kept.groupBy("leader").agg(F.array_sort(F.collect_list(F.struct("often", "key")))["key"].alias("frequent"))
+    held = _spread(large, frequent)
+    others = large.join(frequent.select("leader"), "leader", "left_anti")
+    return held.withColumn("diff", F.concat(F.array_except("diff", "frequent"), F.array_intersect("frequent", "diff"))).drop("frequent").unionByName(others)
 
 
 def _enough(left, slacks, percent: int):
