@@ -62,7 +62,7 @@ def totals(spark: SparkSession, folder: str) -> list[tuple[int, int, int]]:
 
 
 class Progress(StreamingQueryListener):
-    """(batch, rows) of each batch that ends, for whoever shows it. For sinks of Spark's own: a listener in Python and foreachBatch wait for each other, so the queue tells by itself."""
+    """(batch, rows) of each batch that ends, for whoever shows it. For sinks of Spark's own: beside foreachBatch a listener in Python has hung, so the queue tells by itself."""
 
     def __init__(self, tell):
         self.tell = tell
