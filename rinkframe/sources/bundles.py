@@ -30,13 +30,14 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from rinkframe.operators import scores
@@ -46,6 +47,8 @@ from rinkframe.session import shared_folder, ship, table
 NAME = "result_book"
 #: Bytes of a bundle for a task, and of rows for a batch.
 RANGE_BYTES, BATCH_BYTES = 64 << 20, 4 << 20
+#: Tasks of a read beyond which ranges grow (to RANGE_BYTES at most), and renames that a commit has under way at once.
+TASKS, RENAMES = 256, 16
 ENTRIES = {"page_text": r"(\d+)\.txt", "page_cells": r"(\d+)\.cells\.json", "page_images": r"(\d+)\.images\.json", "page_problems": r"(\d+)\.(?:txt|cells\.json|images\.json|\d+\.png)"}
 PROBLEMS = StructType([StructField("doc_id", StringType()), StructField("page_no", IntegerType()), StructField("reason", StringType())])
 
@@ -111,8 +114,10 @@ class Ranges(InputPartition):
 
 
 def ranges(files: list[tuple[str, int]], most: int) -> list[Ranges]:
-    """Files cut into pieces of at most `most` bytes, of nearly equal size; pieces that fit together share a task."""
+    """Files cut into pieces of at most `most` bytes, of nearly equal size; pieces that fit together share a task. What would take more than TASKS tasks is cut into larger pieces, so that small ranges don't make
+    a task, and an opening of the file, for every few entries of a large folder."""
     out, held, size = [], [], 0
+    most = max(most, min(RANGE_BYTES, -(-sum(total for _, total in files) // TASKS)))
     for path, total in sorted(files):
         n = max(1, -(-total // most))
         for k in range(n):
@@ -162,12 +167,12 @@ class BookReader(DataSourceReader):
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         schema, held, size = layer_schema(self.layer), [], 0
-        names, kinds = schema.fieldNames(), {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
+        kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
         of = pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in schema])
-        batch = lambda: pa.RecordBatch.from_pylist(held, schema=of)
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), of, strict=True)], schema=of)
         for path, start, end in partition.pieces:
             for row in self.rows(path, start, end):
-                held.append(dict(zip(names, row, strict=True)))
+                held.append(row)
                 size += 64 + sum(len(x) for x in row if isinstance(x, (str, bytes)))
                 if size > BATCH_BYTES:
                     yield batch()
@@ -239,7 +244,7 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
-class BookWriter(DataSourceWriter):
+class BookWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str], overwrite: bool):
         self.path, self.layer, self.overwrite, self.run = options["path"], options.get("layer", "page_text"), overwrite, uuid.uuid4().hex
         system, root = file_system(self.path)
@@ -248,7 +253,7 @@ class BookWriter(DataSourceWriter):
     def pending(self, root: str) -> str:
         return f"{root.rstrip('/')}/_pending-{self.run}"
 
-    def write(self, rows: Iterator) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         system, root = file_system(self.path)
         folder = self.pending(root)
         done, book, files = [], None, {}
@@ -262,22 +267,25 @@ class BookWriter(DataSourceWriter):
                     bundle.writestr(zipfile.ZipInfo(entry), files[entry] if isinstance(files[entry], (bytes, str)) else json.dumps(files[entry]), zipfile.ZIP_DEFLATED)
             done.append((name, f"{root.rstrip('/')}/{book}.zip"))
 
-        for row in rows:
-            if row.doc_id is None or row.page_no is None:
-                continue
-            if row.doc_id != book:
-                close()
-                book, files = row.doc_id, {}
-            page = f"{row.page_no:04d}"
-            if self.layer == "page_text":
-                if row.text is not None:
-                    files[f"{page}.txt"] = row.text
-            else:
-                kind = "cells" if self.layer == "page_cells" else "images"
-                own = {c: row[c] for c in LAYERS[self.layer].fieldNames()[2:] if c != "pixels"}
-                files.setdefault(f"{page}.{kind}.json", []).append(own)
-                if kind == "images" and row.pixels is not None:
-                    files[f"{page}.{row.xref}.png"] = bytes(row.pixels)
+        columns = LAYERS[self.layer].fieldNames()[2:]
+        own = [c for c in columns if c != "pixels"]
+        for batch in batches:
+            for doc, page_no, *values in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page_no", *columns)), strict=True):
+                if doc is None or page_no is None:
+                    continue
+                if doc != book:
+                    close()
+                    book, files = doc, {}
+                page = f"{page_no:04d}"
+                if self.layer == "page_text":
+                    if values[0] is not None:
+                        files[f"{page}.txt"] = values[0]
+                else:
+                    kind = "cells" if self.layer == "page_cells" else "images"
+                    row = dict(zip(columns, values, strict=True))
+                    files.setdefault(f"{page}.{kind}.json", []).append({c: row[c] for c in own})
+                    if kind == "images" and row["pixels"] is not None:
+                        files[f"{page}.{row['xref']}.png"] = bytes(row["pixels"])
         close()
         return Written(done)
 
@@ -292,8 +300,8 @@ class BookWriter(DataSourceWriter):
             for old in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
                 if old.base_name.lower().endswith(".zip") and old.path not in keep:
                     system.delete_file(old.path)
-        for now, to in named:
-            system.move(now, to)
+        with ThreadPoolExecutor(RENAMES) as pool:
+            list(pool.map(lambda f: system.move(*f), named))
         self.clear()
 
     def abort(self, messages: list[Written | None]) -> None:

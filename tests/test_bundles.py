@@ -94,3 +94,14 @@ def test_a_failed_or_scattered_write_leaves_no_bundle(spark, tmp_path):
     bundles.write_books(df, f"{tmp_path}/out")
     bundles.write_books(df.where("doc_id = 'b1' and page_no < 3").unionByName(df.limit(1).selectExpr("'n' as doc_id", "1 as page_no", "cast(null as string) as text")), f"{tmp_path}/out", mode="overwrite")
     assert sorted(os.listdir(f"{tmp_path}/out")) == ["b1.zip", "n.zip"] and bundles.read_books(spark, f"{tmp_path}/out").count() == 2
+
+
+def test_small_ranges_of_a_large_folder_share_tasks():
+    files = [(f"/b/{k:05d}.zip", 30_000) for k in range(20_000)]
+    parts = bundles.ranges(files, 16_384)
+    assert len(parts) <= 2 * bundles.TASKS and sum(len(p.pieces) for p in parts) < 1.1 * len(files)
+    for path, total in files[::777]:  # every byte of a file lies in one piece
+        own = sorted((a, b) for p in parts for name, a, b in p.pieces if name == path)
+        assert own[0][0] == 0 and own[-1][1] == total + 1 and all(x[1] == y[0] for x, y in zip(own, own[1:]))
+    assert len(bundles.ranges(files[:2], 16_384)) == 4
+    assert max(b - a for p in bundles.ranges([("/b/x.zip", 1 << 42)], 16_384) for _, a, b in p.pieces) <= bundles.RANGE_BYTES + 1
