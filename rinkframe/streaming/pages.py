@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from rinkframe.session import shared_folder, table
+from rinkframe.session import shared_folder, ship, table
 
 OUT = "doc_id string, page_no int, kind string, game_seq bigint, end_no int, hammer int"
 STATE = "next_page int, game_seq bigint, end_no int, hammers string, waiting string"
@@ -69,11 +69,14 @@ def _go(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle: in
         state.update((nxt, game, end, json.dumps(sides), json.dumps(held)))
         if idle is not None:
             state.setTimeoutDuration(idle)
-    yield pd.DataFrame(out, columns=["doc_id", "page_no", "kind", "game_seq", "end_no", "hammer"]).astype({"page_no": "Int32", "game_seq": "Int64", "end_no": "Int32", "hammer": "Int32"})
+    if out:
+        doc, page_no, kinds, games, ends, of = map(list, zip(*out, strict=True))
+        yield pd.DataFrame({"doc_id": doc, "page_no": page_no, "kind": kinds, "game_seq": games, "end_no": pd.array(ends, "Int32"), "hammer": pd.array(of, "Int32")})
 
 
 def page_states(pages: DataFrame, idle: int | None = None) -> DataFrame:
     """pages: a stream of doc_id, page_no (from 1), kind (game, detail or null), hammers (of a game page). Columns as in OUT. idle: milliseconds after which a still document is closed."""
+    ship(pages.sparkSession)
     rows = pages.where("doc_id is not null and page_no is not null").select("doc_id", "page_no", "kind", "hammers")
     timer = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
     return rows.groupBy("doc_id").applyInPandasWithState(lambda key, batches, state: _go(key, batches, state, idle), OUT, STATE, "append", timer)
@@ -106,9 +109,9 @@ def _stand_in(spark: SparkSession, d: str) -> DataFrame:
 def q_page_state_stream(spark: SparkSession, d: str) -> DataFrame:
     """Pages that come in four batches, dealt by a hash, so that most come before one they stand behind."""
     pages, folder = _stand_in(spark, d), shared_folder(spark, "pages")
-    for k in range(4):
-        pages.where(F.pmod(F.xxhash64("doc_id", "page_no"), F.lit(4)) == k).coalesce(1).write.parquet(f"{folder}/in/{k}")
-    drain(spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in"), folder)
+    files = spark.sparkContext.defaultParallelism  # of a batch: all cores write and read it, and pages are made once for all batches
+    pages.repartition(4 * files, "doc_id", "page_no").write.parquet(f"{folder}/in")
+    drain(spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in"), folder)
     return spark.read.parquet(f"{folder}/out")
 
 

@@ -150,3 +150,10 @@ def test_cancelling_between_files_stops_streams(spark, tmp_path):
     assert seen == [0, 1] and not spark.streams.active
     with pytest.raises(ValueError):
         cancel.Run(spark)(lambda r: int("x"))
+
+
+def test_the_batches_of_the_page_stream_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pages, "shared_folder", lambda spark, name: f"{tmp_path}/{name}")
+    rows = pages.q_page_state_stream(spark, "/root/testdata/sf0.001").count()
+    files = [f for _, _, found in os.walk(f"{tmp_path}/pages/in") for f in found if f.endswith(".parquet")]
+    assert len(files) > 4 and rows == spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("event_type in ('signup', 'view')").count()
