@@ -20,6 +20,7 @@ rows; extra columns are kept by score(), which adds `__score`.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -155,9 +156,15 @@ def train(documents: DataFrame, labels: DataFrame, where=None, id_col: str = "do
     if where is not None:
         marks = marks.where(where(F.col("id")))
     both = [marks.where(F.col("toxic") == v).orderBy(F.xxhash64("id"), "id").limit(SAMPLE) for v in (0, 1)]
-    chosen = rows.join(F.broadcast(both[0].union(both[1])), "id")
-    got = sorted(((r.id, r.text, r.toxic) for r in chosen.collect()), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r)))
-    return fit([(t, y) for _, t, y in got])
+    chosen = rows.join(F.broadcast(both[0].union(both[1])), "id").select("id", "text", "toxic")
+
+    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r)))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([(t, y) for _, t, y in got]))], pa.binary())], ["model"])
+
+    # the sample meets in a task: its texts and n-grams would stay in the driver's memory for all that comes after
+    found = arrow_map(chosen.repartition(1), learn, "model binary").first()
+    return pickle.loads(found.model) if found else fit([])
 
 
 def score(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

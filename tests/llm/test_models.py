@@ -1,7 +1,9 @@
 """Models: held-out accuracy, brute force, and defined results of odd rows."""
 
 import math
+import os
 import random
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -172,3 +174,13 @@ def test_toxic_words_of_mislabelled_rows_and_phrases():
     of = lambda make: np.mean(model.score(np.array([model.features(make()) for _ in range(50)])) >= toxicity.THRESHOLD)
     assert of(lambda: text("zorgwit")) > 0.9 and of(lambda: text("go jump off")) > 0.5
     assert of(lambda: text("jump")) < 0.1 and of(text) < 0.1
+
+
+def test_toxicity_is_learned_in_a_task(spark, monkeypatch):
+    rows = [(i, f"you {'vile rotten' if i % 4 == 0 else 'kind gentle'} neighbour number {i} went home", int(i % 4 == 0)) for i in range(120)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    taught = sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r)))
+    want = toxicity.fit([(t, y) for _, t, y in taught])
+    monkeypatch.setattr(toxicity, "fit", lambda rows, fit=toxicity.fit, driver=os.getpid(): fit(rows) if os.getpid() != driver else 1 / 0)
+    got = toxicity.train(docs, labels)
+    assert (got.ordinary, got.toxic, got.weights.tolist()) == (want.ordinary, want.toxic, want.weights.tolist())
