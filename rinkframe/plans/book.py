@@ -10,7 +10,9 @@ should be removed before; empty layers give empty tables; extra columns of layer
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W
+import functools
+
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from rinkframe.functions.geometry import sheet_coordinates
@@ -19,7 +21,7 @@ from rinkframe.operators.books import dense_ranks, shots as shot_records
 from rinkframe.operators.scores import PAGE, color, ends as ends_of, long_scores, pick_table, power_plays, score_lines, teams
 from rinkframe.operators.sequences import page_sequence
 from rinkframe.operators.slots import missing_slots, recovered, sheet_images, throw_order
-from rinkframe.schemas import fitted
+from rinkframe.schemas import TABLES, fitted, layout
 from rinkframe.session import staged, table
 from rinkframe.sources.pages import page_lines
 
@@ -94,25 +96,57 @@ def new_events(found: DataFrame, known: DataFrame) -> DataFrame:
     return first.join(known.select("name"), "name", "left_anti")
 
 
+#: How many of game_seq, end_no and number are a table's key behind doc_id, and where it keeps its parent's id.
+DEPTH = {"games": 1, "ends": 2, "shots": 3, "stones": 3}
+PARENT = {"games": "event_id", "ends": "game_id", "shots": "end_id", "stones": "shot_id"}
+#: Events that one task sums up.
+BLOCK = 10_000
+
+
 def with_ids(book: dict[str, DataFrame], known: dict[str, int] | None = None) -> dict[str, DataFrame]:
-    """The five tables with dense ids (W9, J9, K3, K4, K6, P14). known: the largest id that each table already has."""
+    """The five tables with dense ids (W9, J9, K3, K4, K6, P14). known: the largest id that each table already has. Rows without a parent are left out and take no id; of parents of one key the last one gets the children.
+
+    Each table is shuffled by document, while its rows are narrow, and keeps that order of partitions in the union. There parents are sorted before what is theirs and rows get numbers within the document; a second shuffle, by event, adds how many rows all events before have.
+    """
     at = lambda name: (known or {}).get(name, 0)
-    numbered, keys = {}, {"events": ["doc_id"], "games": ["doc_id", "game_seq"], "ends": ["doc_id", "game_seq", "end_no"], "shots": ["doc_id", "game_seq", "end_no", "number"]}
-    for name, key in keys.items():
-        numbered[name] = staged(dense_ranks(book[name], key, at(name)), f"ids-{name}")
-    own = lambda name, as_name: numbered[name].select(*keys[name], F.col("id").alias(as_name))
-    kept = own("events", "event_id")
-    stones = dense_ranks(book["stones"].join(own("shots", "shot_id"), keys["shots"]), ["doc_id", "game_seq", "end_no", "number", "color", "x", "y", "distance_from_center"], at("stones"))
-    out = {
-        "events": numbered["events"],
-        "games": numbered["games"].join(kept, "doc_id"),
-        "ends": numbered["ends"].join(own("games", "game_id"), keys["games"]),
-        "shots": numbered["shots"].join(own("ends", "end_id"), keys["ends"]),
-        "stones": stones,
-    }
+    events = staged(dense_ranks(book["events"], ["doc_id"], at("events")), "ids-events")
+    keys, kind = ["game_seq", "end_no", "shot_no"], F.col("__t")
+    # by a merge join, whatever the events' size: what a broadcast join gives would be shuffled behind the union, with the columns of all tables
+    of_event, every = events.select("doc_id", F.col("id").alias("event_id")).hint("merge"), None
+    rest = {name: [c for c in layout(name, True) if c not in ("id", PARENT[name]) and (name, c) != ("shots", "number")] for name in DEPTH}  # a shot's number is its key
+    for t, (name, depth) in enumerate(DEPTH.items(), 1):
+        df, own = book[name], [F.col(c).alias(k) for c, k in zip(["game_seq", "end_no", "number"][:depth], keys, strict=False)]
+        df = df.join(of_event, "doc_id").select("doc_id", "event_id", F.lit(t).alias("__t"), *own, F.struct(*(F.col(c).cast(TABLES[name][c].dataType).alias(c) for c in rest[name])).alias(name))
+        every = df if every is None else every.unionByName(df, allowMissingColumns=True)
+    so_far = W.partitionBy("doc_id").orderBy(*keys, "__t", *(f"stones.{c}" for c in ("color", "x", "y", "distance_from_center"))).rowsBetween(W.unboundedPreceding, 0)
+    met = every.withColumns({f"__{t}": F.last(F.when(kind == t, F.struct(*keys[:t])), ignorenulls=True).over(so_far) for t in (1, 2, 3)})
+    # a row stays if the last game, end and shot have its key; a null is nobody's key
+    same = [F.lit(True)] + [F.coalesce(functools.reduce(Column.__and__, (F.col(f"__{t}")[k] == F.col(k) for k in keys[:t])), F.lit(False)) for t in (1, 2, 3)]
+    whole = ((kind <= 1) | same[1]) & ((kind <= 2) | same[2]) & ((kind <= 3) | same[3])
+    met = met.where(whole).withColumns({f"__n{t}": F.count_if(kind == t).over(so_far) for t in (1, 2, 3, 4)})
+    nth = lambda up: F.element_at(F.array(F.lit(0).cast("long"), *(f"__n{t}" for t in (1, 2, 3, 4))), kind + 1 - up).cast("int")
+    met = staged(met.select("event_id", "__t", nth(0).alias("__own"), nth(1).alias("__up"), "shot_no", *DEPTH), "numbered")
+    starts = _starts(met, [at(name) for name in DEPTH])
+    out = {"events": events}
+    for t, name in enumerate(DEPTH, 1):
+        df = met.where(kind == t).select("event_id", "__own", "__up", F.col("shot_no").alias("number") if name == "shots" else F.lit(t).alias("__t"), f"{name}.*")
+        df = df.join(starts.select("event_id", f"__s{t}", F.col(f"__s{t - 1}" if t > 1 else "event_id").alias("__before")), "event_id")
+        out[name] = df.withColumn("id", F.col(f"__s{t}") + F.col("__own")).withColumn(PARENT[name], F.col("event_id") if t == 1 else F.col("__before") + F.col("__up"))
     return {name: fitted(df, name) for name, df in out.items()}
 
 
+def _starts(met: DataFrame, known: list[int]) -> DataFrame:
+    """event_id, and for each of the tables below events (__s1 to __s4) the largest id that is taken before the event's first. Blocks of events are summed up, then the events of each block."""
+    kinds = range(1, len(known) + 1)
+    counts = met.groupBy("event_id").agg(*(F.count_if(F.col("__t") == t).alias(f"__c{t}") for t in kinds)).withColumn("__block", F.floor(F.col("event_id") / BLOCK))
+    counts = staged(counts, "counts")
+    before = lambda c, w: F.sum(c).over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col(c)
+    blocks = counts.groupBy("__block").agg(*(F.sum(f"__c{t}").alias(f"__b{t}") for t in kinds))
+    blocks = blocks.select("__block", *((before(f"__b{t}", W.orderBy("__block")) + F.lit(known[t - 1])).alias(f"__b{t}") for t in kinds))
+    inside = counts.select("event_id", "__block", *(before(f"__c{t}", W.partitionBy("__block").orderBy("event_id")).alias(f"__c{t}") for t in kinds))
+    return staged(inside.join(F.broadcast(blocks), "__block").select("event_id", *((F.col(f"__c{t}") + F.col(f"__b{t}")).alias(f"__s{t}") for t in kinds)), "starts")
+
+
 def q_page_kinds(spark, d):
     pages = table(spark, d, "documents").select("doc_id", "text")
     return page_kinds(pages, " in ", " de ").select("doc_id", "kind")

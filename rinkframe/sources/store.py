@@ -21,7 +21,7 @@ import json
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,7 +140,7 @@ class Store:
         rejected = [(r.doc_id, r.name, "no name" if r.name is None else "name is taken") for r in lost.select("doc_id", "name").orderBy("doc_id", "name").collect()]  # one for each file at most
         if taken.isEmpty():
             return Outcome(None, dict.fromkeys(TABLES, 0), rejected)
-        own = {"events": taken} | {t: book[t].join(taken.select("doc_id"), "doc_id", "left_semi") for t in TABLES if t != "events"}
+        own = book | {"events": taken}  # what belongs to others has no parent here
         largest = {t: max((c["largest"][t] for c in commits[1:]), default=0) for t in TABLES}
         rows, last = {}, {}
         try:
@@ -182,10 +182,14 @@ def _stand_in(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     null = lambda kind: F.lit(None).cast(kind)
     key = ["doc_id", "game_seq", F.col("l_linenumber").cast("int").alias("end_no")]
     shots = lines.select(*key, F.col("l_partkey").cast("int").alias("number")).distinct()
+    # the lines are joined once; the first shot of an end stands for it
+    first = F.row_number().over(W.partitionBy("doc_id", "game_seq", "end_no").orderBy("number")) == 1
+    shots = staged(shots.withColumn("first", first), "lines")
+    ends, shots = shots.where("first").drop("first", "number"), shots.drop("first")
     return {
         "events": customers.select("doc_id", "name", null("int").alias("year"), F.when(F.col("c_custkey") % 3 == 0, "Men").alias("category")),
         "games": games.withColumns({"page": (F.col("game_seq") % 100).cast("int")} | {f"{k}_{c}": null(t) for k, t in (("team", "string"), ("final_score", "int")) for c in ("red", "yellow")}),
-        "ends": lines.select(*key).distinct().withColumns({"page": null("int"), "number": F.col("end_no"), "color_hammer": null("string"), "score_red": null("int"), "score_yellow": null("int"), "is_power_play": F.lit(0)}),
+        "ends": ends.withColumns({"page": null("int"), "number": F.col("end_no"), "color_hammer": null("string"), "score_red": null("int"), "score_yellow": null("int"), "is_power_play": F.lit(0)}),
         "shots": shots.withColumns({c: null("string") for c in ("color", "team", "player_name", "type", "turn")} | {"percent_score": (F.col("number") % 101).cast("int")}),
         "stones": shots.withColumns({"color": F.lit("red"), "x": F.col("number").cast("double"), "y": null("double"), "distance_from_center": null("double"), "inhouse": F.lit(1), "insheet": F.lit(1)}),
     }
@@ -194,10 +198,11 @@ def _stand_in(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 def q_published_tables(spark: SparkSession, d: str) -> DataFrame:
     """Customers of even keys are published, then all: those known are rejected with all that is theirs, ids go on."""
     store = Store(spark, shared_folder(spark, "store")).create(mixed=True)
-    every = _stand_in(spark, d)
-    even = {t: df.where("cast(doc_id as bigint) % 2 = 0") for t, df in every.items()}
-    for book in (even, every, even):
-        store.publish(book)
+    with scratch(spark):
+        every = _stand_in(spark, d)
+        even = {t: df.where("cast(doc_id as bigint) % 2 = 0") for t, df in every.items()}
+        for book in (even, every, even):
+            store.publish(book)
     parent = {"events": "year", "games": "event_id", "ends": "game_id", "shots": "end_id", "stones": "shot_id"}
     each = [store.read(t).select(F.lit(t).alias("name"), "id", F.col(p).cast("long").alias("parent"), F.col({"events": "name", "games": "page", "ends": "number", "shots": "number", "stones": "x"}[t]).cast("string").alias("value")) for t, p in parent.items()]
     return functools.reduce(DataFrame.unionByName, each).withColumn("value", F.regexp_replace("value", r"\.0$", ""))

@@ -112,3 +112,33 @@ def test_staged_folders_go(spark, monkeypatch, tmp_path):
 def test_reading_what_is_no_store(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         Store(spark, f"{tmp_path}/nothing").read("events")
+
+
+def test_rows_without_a_parent_take_no_id(spark, tmp_path):
+    """Nor does what belongs to them; rows of null keys have no parent."""
+    store, book = Store(spark, f"{tmp_path}/db").create(), made(spark, ("a", "A"), ("b", "B"))
+    add = lambda t, *rows: book.update({t: book[t].union(spark.createDataFrame(rows, book[t].schema))})
+    add("ends", ("a", 0, 1, 3, 1, "red", 1, 0, None), ("a", None, 1, 3, 1, "red", 1, 0, None))
+    add("shots", *((*key, 1, "red", "CAN", "A", "Draw", "cw", 75) for key in (("a", 0, 1), ("a", None, 1), ("a", 1, 0))))
+    add("stones", *((*key, "red", 9.0, None, None, 1, 1) for key in (("a", 0, 1, 1), ("a", None, 1, 1), ("a", 1, 0, 1), ("a", 1, 1, 0), ("a", 1, 1, None))))
+    assert store.publish(book).rows == {"events": 2, "games": 2, "ends": 4, "shots": 4, "stones": 4}
+    assert rows(store, "ends", "id", "game_id", "number") == [(1, 1, 1), (2, 1, 2), (3, 2, 1), (4, 2, 2)] and rows(store, "shots", "id", "end_id") == [(i, i) for i in range(1, 5)]
+    assert rows(store, "stones", "id", "shot_id", "x") == [(1, 1, 0.5), (2, 2, 1.0), (3, 3, 0.5), (4, 4, 1.0)]
+
+
+def test_a_table_is_shuffled_once_by_document_and_once_by_event(spark, monkeypatch):
+    plans, stage = {}, books.staged
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, name)
+
+    monkeypatch.setattr(books, "staged", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with session.scratch(spark):
+            stones = books.with_ids(made(spark, ("a", "A")))["stones"]
+            assert plans["numbered"].count("Exchange hashpartitioning(doc_id") <= 8 == plans["numbered"].count("Exchange hashpartitioning")  # the four tables, and for each the events (one is reused)
+            assert stones._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
