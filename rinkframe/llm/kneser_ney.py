@@ -37,6 +37,8 @@ from .common import arrow_map, checkpointed, flat, ship, steps, table
 
 ORDER = 5
 CHUNK_BYTES = 12 << 20
+#: How hard zstandard packs a chunk's texts, which are most of what is shuffled.
+LEVEL = 9
 #: Bytes of text that one numpy step handles, also of a long document.
 STEP = 1 << 20
 #: Documents with a perplexity above their language's QUANTILE of trusted ones are not kept; one trusted id in HELD sets the quantile and isn't counted.
@@ -171,18 +173,15 @@ def _wanted(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
     return pd.unique(np.concatenate(out))
 
 
-def _chunks(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, ids, texts) of up to `most` bytes or one longer document."""
+def _cut(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Name and rows (id, text) of chunks of up to `most` bytes or one longer document."""
     ids, texts, size = [], [], 0
 
-    def flush() -> pa.RecordBatch:
-        pack = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.large_binary())], ["id", "text"])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, pack.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_batch(pack)
-        data = sink.getvalue().to_pybytes()
-        name = int.from_bytes(hashlib.blake2b(data, digest_size=8).digest()) >> 1
-        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], ["chunk", "pack"])
+    def flush() -> tuple[int, pa.RecordBatch]:
+        digest = hashlib.blake2b(repr([(i, len(t)) for i, t in zip(ids, texts, strict=True)]).encode(), digest_size=8)
+        for t in texts:
+            digest.update(t)
+        return int.from_bytes(digest.digest()) >> 1, pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.large_binary())], ["id", "text"])
 
     for batch in batches:
         for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -196,6 +195,15 @@ def _chunks(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         yield flush()
 
 
+def _chunks(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, pack): the chunks, packed for the shuffle."""
+    for name, docs in _cut(batches, most):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as out:
+            out.write_batch(docs)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "pack"])
+
+
 def _unpack(pack: bytes) -> pa.RecordBatch:
     return next(iter(pa.ipc.open_stream(pack)))
 
@@ -228,8 +236,7 @@ def perplexities(documents: DataFrame, model: DataFrame, id_col: str = "doc_id",
     chunks = arrow_map(source, lambda it: _chunks(it, chunk_bytes), "chunk long, pack binary")
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _chunks(batches, chunk_bytes):
-            name, docs = batch.column("chunk")[0].as_py(), _unpack(batch.column("pack")[0].as_py())
+        for name, docs in _cut(batches, chunk_bytes):
             wanted = np.append(_wanted(*flat(docs.column("text")), order), ASKED)
             for a in range(0, len(wanted), 1 << 16):
                 keys = pa.array(wanted[a : a + (1 << 16)])
