@@ -57,7 +57,7 @@ def dense_ranks(df: DataFrame, key: list[str], offset: int = 0, name: str = "id"
     # a row for each document is all that meets in one place
     start = counts.withColumn("__start", F.sum("__n").over(W.orderBy(doc).rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).drop("__n")
     place = F.row_number().over(W.partitionBy(doc).orderBy(*key))
-    return df.join(start, doc).withColumn(name, (F.lit(offset) + F.col("__start") + place).cast("long")).drop("__start")
+    return df.join(start.hint("merge"), doc).withColumn(name, (F.lit(offset) + F.col("__start") + place).cast("long")).drop("__start")
 
 
 def q_record_parse(spark, d):

@@ -91,9 +91,9 @@ def build(files: DataFrame, page_text: DataFrame, page_cells: DataFrame, page_im
 
 
 def new_events(found: DataFrame, known: DataFrame) -> DataFrame:
-    """Events whose name no known event has; of files of one name the first by doc_id."""
+    """Events whose name no known event has; of files of one name the first by doc_id. By a merge join, as the window has dealt by name already and known names may be too many for the driver."""
     first = found.withColumn("__n", F.row_number().over(W.partitionBy("name").orderBy("doc_id"))).where("__n = 1").drop("__n")
-    return first.join(known.select("name"), "name", "left_anti")
+    return first.join(known.select("name").hint("merge"), "name", "left_anti")
 
 
 #: How many of game_seq, end_no and number are a table's key behind doc_id, and where it keeps its parent's id.
@@ -130,7 +130,7 @@ def with_ids(book: dict[str, DataFrame], known: dict[str, int] | None = None) ->
     out = {"events": events}
     for t, name in enumerate(DEPTH, 1):
         df = met.where(kind == t).select("event_id", "__own", "__up", F.col("shot_no").alias("number") if name == "shots" else F.lit(t).alias("__t"), f"{name}.*")
-        df = df.join(starts.select("event_id", f"__s{t}", F.col(f"__s{t - 1}" if t > 1 else "event_id").alias("__before")), "event_id")
+        df = df.join(starts.select("event_id", f"__s{t}", F.col(f"__s{t - 1}" if t > 1 else "event_id").alias("__before")).hint("merge"), "event_id")
         out[name] = df.withColumn("id", F.col(f"__s{t}") + F.col("__own")).withColumn(PARENT[name], F.col("event_id") if t == 1 else F.col("__before") + F.col("__up"))
     return {name: fitted(df, name) for name, df in out.items()}
 

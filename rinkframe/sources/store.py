@@ -1,14 +1,16 @@
 """A store of the five tables, in which a run's events appear all at once or not at all.
 
     root/<table>/commit=<name>/part-...     what a run has written
-    root/_commits/00000007.json             the seventh commit: its name, its events, rows and largest id of each table
+    root/_rejected/commit=<name>/part-...   the events that it didn't take, and why
+    root/_commits/00000007.json             the seventh commit: its name, rows and largest id of each table; its events are in its folder
 
 A run writes its rows under a name of its own and then its manifest, whose number is one more than the last: that one rename is the commit. Readers list
 manifests and read the folders that these name; what a run left that was killed, cancelled or failed isn't seen by anybody and is removed by discard(). Of
 two runs that meet, the second finds its number taken, drops what it wrote and numbers its rows anew behind the first.
 
 Names of events are unique (K2): an event whose name is known isn't taken, and neither are its games, ends, shots and stones; they are listed as rejected. So a
-repeated run adds nothing. Dense ids (W9) go on behind the largest committed ones.
+repeated run adds nothing. Events, names and lists of them may be millions: they stay in files, and joins of them are merge joins, as Spark takes a side for small by the size
+of its packed files and would build it in the driver. Dense ids (W9) go on behind the largest committed ones.
 
 Defined results: an event without a name is rejected; of events with one name in a run the first by doc_id is taken; children without an accepted event are left out;
 a run without accepted events commits nothing; reading a store without commits gives empty tables; an empty root that isn't a store is an error.
@@ -19,7 +21,7 @@ from __future__ import annotations
 import functools
 import json
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ from rinkframe.session import hadoop, scratch, shared_folder, staged, table
 
 #: Runs that may meet before one gives up.
 ATTEMPTS = 20
+#: Where the lists of rejected events are.
+REJECTED = "_rejected"
 
 
 class Conflict(Exception):
@@ -39,11 +43,16 @@ class Conflict(Exception):
 
 @dataclass
 class Outcome:
-    """commit: its name, or None if there was nothing to add; rows: of each table; rejected: events (doc_id, name, reason)."""
+    """commit: its name, or None if there was nothing to add; rows: of each table; lost: rejected events (doc_id, name, reason), kept in the store, until discard() if there is no commit."""
 
     commit: str | None
     rows: dict[str, int]
-    rejected: list[tuple[str | None, str | None, str]] = field(default_factory=list)
+    lost: DataFrame | None = None
+
+    @functools.cached_property
+    def rejected(self) -> list[tuple[str | None, str | None, str]]:
+        """All of lost in the driver, by doc_id and name; for many events, use lost."""
+        return [tuple(r) for r in self.lost.orderBy("doc_id", "name").collect()] if self.lost is not None else []
 
 
 class Store:
@@ -136,36 +145,43 @@ class Store:
             return Outcome(None, dict.fromkeys(TABLES, 0))
         found = staged(book["events"], "events")
         taken = staged(books.new_events(found.where("name is not null"), self.read("events", commits)), "new-events")
-        lost = found.join(taken.select("doc_id", "name"), ["doc_id", "name"], "left_anti")
-        rejected = [(r.doc_id, r.name, "no name" if r.name is None else "name is taken") for r in lost.select("doc_id", "name").orderBy("doc_id", "name").collect()]  # one for each file at most
-        if taken.isEmpty():
-            return Outcome(None, dict.fromkeys(TABLES, 0), rejected)
         own = book | {"events": taken}  # what belongs to others has no parent here
         largest = {t: max((c["largest"][t] for c in commits[1:]), default=0) for t in TABLES}
         rows, last = {}, {}
         try:
+            lost = self._reject(found, taken, name)
+            if taken.isEmpty():
+                return Outcome(None, dict.fromkeys(TABLES, 0), lost)
             for t, df in books.with_ids(own, largest).items():
                 path = f"{self.root}/{t}/commit={name}"
                 df.select(*layout(t, commits[0]["mixed"])).write.parquet(path)
                 got = self.spark.read.schema(df.schema).parquet(path).agg(F.count("*"), F.max("id")).first()
                 rows[t], last[t] = got[0], max(got[1] or 0, largest[t])
-            names = [r.name for r in taken.select("name").orderBy("name").collect()]
-            self._write_new(f"{self.root}/_commits/{len(commits):08d}.json", json.dumps({"commit": name, "run": run, "events": names, "rows": rows, "largest": last}))
+            self._write_new(f"{self.root}/_commits/{len(commits):08d}.json", json.dumps({"commit": name, "run": run, "rows": rows, "largest": last}))
         except Exception:
-            for t in TABLES:  # K9: a failed run leaves nothing; of a killed one discard() takes what it left
+            for t in (*TABLES, REJECTED):  # K9: a failed run leaves nothing; of a killed one discard() takes what it left
                 self._delete(f"{self.root}/{t}/commit={name}")
             raise
-        return Outcome(name, rows, rejected)
+        return Outcome(name, rows, lost)
+
+    def _reject(self, found: DataFrame, taken: DataFrame, name: str) -> DataFrame:
+        """The events that weren't taken, written beside the tables."""
+        reason = F.when(F.col("name").isNull(), "no name").otherwise("name is taken")
+        lost = found.join(taken.select("doc_id", "name").hint("merge"), ["doc_id", "name"], "left_anti").select("doc_id", "name", reason.alias("reason"))
+        path = f"{self.root}/{REJECTED}/commit={name}"
+        lost.write.parquet(path)
+        return self.spark.read.schema(lost.schema).parquet(path)
 
     def discard(self) -> list[str]:
-        """Removes what was never committed, and returns the commits' names. Not to be run beside a run that writes."""
+        """Removes what was never committed, and returns the commits' names; lists of runs that only rejected go without a name. Not to be run beside a run that writes."""
         known = {c["commit"] for c in self.commits()[1:]}
         gone = []
-        for t in TABLES:
+        for t in (*TABLES, REJECTED):
             for folder in self._list(f"{self.root}/{t}"):
                 if folder.startswith("commit=") and folder[7:] not in known:
                     self._delete(f"{self.root}/{t}/{folder}")
-                    gone.append(folder[7:])
+                    if t != REJECTED:
+                        gone.append(folder[7:])
         for n in self._list(f"{self.root}/_commits"):
             if n.endswith(".tmp"):
                 self._delete(f"{self.root}/_commits/{n}")
@@ -177,8 +193,8 @@ def _stand_in(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     doc = F.lpad(F.col("c_custkey").cast("string"), 9, "0")
     customers = table(spark, d, "customer").select("c_custkey", doc.alias("doc_id"), F.col("c_name").alias("name"))
     orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("game_seq"))
-    games = customers.join(orders, "c_custkey").select("doc_id", "game_seq")
-    lines = games.join(table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "game_seq"), "game_seq")
+    games = customers.join(orders.hint("merge"), "c_custkey").select("doc_id", "game_seq")
+    lines = games.join(table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "game_seq").hint("merge"), "game_seq")
     null = lambda kind: F.lit(None).cast(kind)
     key = ["doc_id", "game_seq", F.col("l_linenumber").cast("int").alias("end_no")]
     shots = lines.select(*key, F.col("l_partkey").cast("int").alias("number")).distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rinkframe import session
 from rinkframe.plans import book as books
+from rinkframe.sources import store as stores
 from rinkframe.sources.store import Store
 
 KEY = "doc_id string, game_seq long, end_no int"
@@ -142,3 +143,43 @@ def test_a_table_is_shuffled_once_by_document_and_once_by_event(spark, monkeypat
             assert stones._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_events_stay_out_of_the_driver(spark, monkeypatch, tmp_path):
+    """Neither rejected events nor names are brought there or put into manifests; they are all in the store."""
+    n, got, collect = 3000, [], type(spark.range(1)).collect
+    store, book = Store(spark, f"{tmp_path}/db").create(), made(spark, ("a", "A"))
+    some = lambda start: book | {"events": spark.range(start, n).select(F.format_string("%05d", "id").alias("doc_id"), F.format_string("E%05d", "id").alias("name"), F.lit(2023).alias("year"), F.lit("Men").alias("category"))}
+
+    def seen(df):
+        got.append(len(found := collect(df)))
+        return found
+
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.range(1)), "collect", seen)
+        first, second, third = store.publish(some(n // 2)), store.publish(some(0)), store.publish(some(0))
+    assert max(got) <= 1 and all(os.path.getsize(f"{tmp_path}/db/_commits/{i:08d}.json") < 1000 for i in (1, 2))
+    assert (first.rows["events"], second.rows["events"], third.commit) == (n // 2, n // 2, None) and store.counts()["events"] == n
+    assert not first.rejected and second.rejected == [(f"{i:05d}", f"E{i:05d}", "name is taken") for i in range(n // 2, n)] and third.lost.count() == len(third.rejected) == n
+    assert [store.read("events", [store.commits()[0], c]).agg(F.min("name")).first()[0] for c in store.commits()[1:]] == [f"E{n // 2:05d}", "E00000"]
+    lists = f"{tmp_path}/db/_rejected"
+    assert len(os.listdir(lists)) == 3 and store.discard() == [] and sorted(os.listdir(lists)) == sorted(f"commit={x.commit}" for x in (first, second)) and second.lost.count() == n // 2
+
+
+def test_joins_that_grow_with_the_events_merge(spark, monkeypatch):
+    """However small their files look; one side of a broadcast join is built in the driver. A row for each block of events alone is broadcast."""
+    plans, stage = {}, session.staged
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def seen(df, name):
+        plans[name] = plan(df)
+        return stage(df, name)
+
+    with session.scratch(spark):
+        book = {t: stage(df, t) for t, df in made(spark, ("a", "A")).items()}
+        for module in (books, stores):
+            monkeypatch.setattr(module, "staged", seen)
+        plans |= {t: plan(df) for t, df in books.with_ids(book).items()} | {"new": plan(books.new_events(book["events"], book["events"]))}
+        plans |= {f"stand-in {t}": plan(df) for t, df in stores._stand_in(spark, "/root/testdata/sf0.001").items()}
+    assert {name for name, p in plans.items() if "Broadcast" in p} == {"starts"} and plans["starts"].count("BroadcastHashJoin") == 1
+    assert all("SortMergeJoin" in plans[x] for x in ("ids-events", "numbered", "stones", "new", "lines", "stand-in games"))
